@@ -56,8 +56,16 @@ WITH RECURSIVE numbered AS (
   SELECT doc_id, coalesce(text, '') AS t, count(*) OVER () AS n,
     row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) - 1 AS row_number
   FROM documents),
+crc_table AS (
+  SELECT list(c ORDER BY byte) AS crcs FROM (
+    SELECT byte, list_reduce([byte] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(byte))),
+hexed AS (SELECT row_number, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda v: CAST('0x' || v AS BIGINT)) AS bytes FROM numbered),
+summed AS (
+  SELECT row_number, xor(4294967295, list_reduce([4294967295] || bytes, lambda c, v: xor(c >> 8, crcs[(xor(c, v) & 255) + 1]))) AS crc
+  FROM hexed, crc_table),
 {feistel.permute_sql("numbered", "row_number", KEY)}
-SELECT doc_id, CAST(octet_length(CAST(t AS BLOB)) + 16 AS BIGINT) AS size, CRC AS text_crc32, 'rows' AS law,
+SELECT doc_id, CAST(octet_length(encode(t)) + 16 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law,
   CAST(x % {SHARDS} AS INTEGER) AS shard, CAST(x // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM numbered JOIN walked USING (row_number)
+FROM numbered JOIN walked USING (row_number) JOIN summed USING (row_number)
 """
