@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, ogg, sharding, url_filter
+from quire.llm import mixing, ogg, quality, sharding, simhash, url_filter
 from quire.llm.common import table
 
 URL_RULES = (
@@ -45,6 +45,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = simhash.cluster(table(spark, sf_dir, "documents"))
+    return clustered.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, keep_text=False).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
+
+
 OP9_SQL = """
 WITH cut AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
 parts AS (
@@ -73,8 +83,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op3_mixing": op3_mixing,
+    "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op9_url_filter": op9_url_filter,
+    "op10_quality": op10_quality,
 }
 _ORACLE = {"op3_mixing": mixing.ORACLE, "op5_sharding": sharding.ORACLE, "op9_url_filter": OP9_SQL}
 
