@@ -33,6 +33,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP = 0.5
+#: A rule votes bad on at most one of so many good documents.
+FALSE_ALARMS = 100
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "top_words", "n_letters", "n_stops")
 BASE = FIGURES[:5]
 
@@ -98,7 +100,7 @@ class Rule(NamedTuple):
 RULES = (
     Rule("few symbols", "n_symbols / n_words", 0.0, 0.01, -1.0, 0.1),
     Rule("few repeats", "n_repeat_words / n_words", 0.0, 0.15, -1.0, 0.3, "n_words >= 3"),
-    Rule("few equal lines", "n_dup_lines / n_lines", 0.0, 0.1, -1.0, 0.3, "n_lines >= 3"),
+    Rule("few equal lines", "n_dup_lines / n_lines", 0.0, 0.1, -1.0, 0.4, "n_lines >= 5"),
     Rule("word length", "word_chars / n_words", 3.8, 6.5, 3.0, 8.0),
     Rule("mostly letters", "n_letters / word_chars", 0.9, 1.0, 0.75, 2.0),
     Rule("sentence ends", "n_stops / n_words", 0.02, 0.3, 0.004, 0.6),
@@ -144,17 +146,26 @@ def unpack(patterns: np.ndarray, rules: int) -> np.ndarray:
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 200) -> Model:
-    """EM over pattern counts. Rules start at 0.8 and never fall under 0.55, so classes can't trade names."""
-    model = Model(0.7, np.full(rules, 0.8), np.full(rules, 0.8), rules)
+    """EM over pattern counts, with two bounds that say which class is which.
+
+    Good documents fail no rule for more than one in FALSE_ALARMS of them, while bad ones come in
+    kinds, each of which may pass most rules: so a good vote on a bad document is common.
+    """
+    model = Model(0.8, np.full(rules, 1 - 1 / FALSE_ALARMS), np.full(rules, 0.4), rules)
     if not len(patterns):
         return model
     votes, n = unpack(patterns, rules), np.asarray(counts, float)
     for _ in range(rounds):
         p = model.posterior(patterns) * n
         q = n - p
-        good = (p @ (votes > 0) + 8) / (p @ (votes != 0) + 10)
-        bad = (q @ (votes < 0) + 8) / (q @ (votes != 0) + 10)
-        new = Model(float(np.clip(p.sum() / n.sum(), 0.05, 0.95)), np.clip(good, 0.55, 0.999), np.clip(bad, 0.55, 0.999), rules)
+        good = (p @ (votes > 0) + 100) / (p @ (votes != 0) + 101)
+        bad = (q @ (votes < 0) + 4) / (q @ (votes != 0) + 10)
+        new = Model(
+            float(np.clip(p.sum() / n.sum(), 0.05, 0.95)),
+            np.clip(good, 1 - 1 / FALSE_ALARMS, 0.9999),
+            np.clip(bad, 0.1, 0.999),
+            rules,
+        )
         still = abs(new.prior - model.prior) + abs(new.right_good - model.right_good).max() + abs(new.right_bad - model.right_bad).max()
         model = new
         if still < 1e-9:
