@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, ogg, quality, sharding, simhash, url_filter
+from quire.llm import license_scan, mixing, ogg, quality, sharding, simhash, url_filter
 from quire.llm.common import table
 
 URL_RULES = (
@@ -54,6 +54,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.digest(license_scan.scan_licenses(docs))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -85,6 +90,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }
