@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import license_scan, mixing, ogg, quality, sharding, simhash, url_filter
+from quire.llm import license_scan, mixing, ogg, pii, quality, sharding, simhash, url_filter
 from quire.llm.common import table
 
 URL_RULES = (
@@ -54,6 +54,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    masked = pii.pseudonymize(docs, kinds="kinds")
+    return masked.select("doc_id", F.size("kinds").cast("long").alias("n_values"), F.array_join("kinds", ",").alias("kinds"), "text")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.digest(license_scan.scan_licenses(docs))
@@ -90,6 +96,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op7_pii": op7_pii,
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
