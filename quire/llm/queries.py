@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import license_scan, mixing, ogg, pii, quality, sharding, simhash, url_filter
+from quire.llm import license_scan, mixing, ogg, pii, quality, sharding, simhash, toxicity, url_filter
 from quire.llm.common import table
 
 URL_RULES = (
@@ -40,6 +40,17 @@ def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_score(docs, model).select(
+        "doc_id",
+        (toxicity.bucket(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -93,6 +104,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
