@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import license_scan, mixing, ogg, pii, quality, sharding, simhash, toxicity, url_filter
+from quire.llm import license_scan, mixing, ogg, packing, pii, quality, sharding, simhash, toxicity, url_filter
 from quire.llm.common import table
 
 URL_RULES = (
@@ -65,6 +65,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     masked = pii.pseudonymize(docs, kinds="kinds")
@@ -108,6 +112,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
