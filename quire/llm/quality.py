@@ -198,4 +198,5 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", ke
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns of docs."""
-    return judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")).where("kept").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return judge(rows, keep_text=False).where("kept").select("_row.*")

@@ -90,6 +90,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, keep_text=False).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP9_SQL = """
 WITH cut AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
 parts AS (
@@ -117,6 +123,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 _ORACLE = {"op3_mixing": mixing.ORACLE, "op5_sharding": sharding.ORACLE, "op9_url_filter": OP9_SQL}
 

@@ -162,16 +162,16 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLO
 def cluster(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; the id is the smallest doc_id reachable."""
     printed = materialize(with_fingerprint(docs.select("doc_id", "text"), "text", shingle).select("doc_id", "fp"))
-    return with_components(printed, distance, block)
+    return with_components(printed, distance, block).select("doc_id", "fp", "component_id")
 
 
 def with_components(printed: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Add component_id to rows that have doc_id and fp."""
+    """Add component_id, and root (one fingerprint of the component), to rows that have doc_id and fp."""
     nodes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reached = components(fingerprint_links(nodes.select("fp"), distance, block))
     rooted = nodes.join(reached, nodes.fp == reached.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(named, "root").select("fp", "component_id")
+    known = rooted.join(named, "root").select("fp", "root", "component_id")
     return printed.join(known, "fp")
 
 
@@ -179,14 +179,14 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     """One document of each component: the one whose id names it, with the columns of docs.
 
     Rows that repeat the naming id are told apart by their places in a written table; a component of
-    null ids only keeps one row of them.
+    null ids only keeps one of its rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     printed = materialize(
         with_fingerprint(docs.select(row, "doc_id", "text"), "text", shingle).drop("text").withColumn("_place", F.monotonically_increasing_id())
     )
     placed = with_components(printed.select("doc_id", "fp", "_place"), distance)
-    first = placed.groupBy("component_id").agg(
+    first = placed.groupBy("root").agg(
         F.min_by("_place", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_place"))).alias("_place"),
     )
     return printed.join(first.select("_place"), "_place", "left_semi").select("_row.*")
