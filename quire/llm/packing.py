@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import global_index
+from quire.llm.common import global_index, materialize
 
 CAPACITY = 2048
 END_ID = 0
@@ -259,4 +259,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: tuple[str, str | None, str | None] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document, with its sequence and its place there."""
-    return pack_pieces(token_pieces(docs, tokenizer or public_tokenizer(), capacity), capacity)
+    pieces = materialize(token_pieces(docs, tokenizer or public_tokenizer(), capacity))  # ranges are sampled: tokenize once
+    return pack_pieces(pieces, capacity)
