@@ -65,7 +65,7 @@ OF ANY KIND, either express or implied."""),
 <<var;words=1..4>> is free software: you can redistribute it and/or modify it under the terms of the GNU
 <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License as published by
 the Free Software Foundation, either version <<var;words=1..2>> of the License, or (at your option) any later version."""),
-    ("mit-line", 0.9, """<<beginOptional>>This <<var;words=1..3>> is <<endOptional>><<beginOptional>>re<<endOptional>>released under
+    ("mit-line", 0.9, """<<beginOptional>>This <<var;words=1..3>> is <<endOptional>>released under
 the <<beginOptional>>terms of the <<endOptional>>MIT License<<beginOptional>>.<<endOptional>>"""),
     ("apache-2.0-line", 0.9, """Licensed under the <<beginOptional>>terms of the <<endOptional>>Apache
 License<<beginOptional>>,<<endOptional>> <<beginOptional>>Version <<endOptional>>2.0"""),

@@ -32,10 +32,12 @@ STREAMS = 2
 SEGMENTS = 64
 
 # Fixed values of the format: header layout and flags.
-HEADER = struct.Struct("<4sBBqIIIB")
+HEADER = "<4sBBqIIIB"
+HEADER_SIZE = struct.calcsize(HEADER)
 CONTINUED, FIRST, LAST = 1, 2, 4
 # Identification packet: magic, version, samples per second, channels, bits, samples per packet.
-IDENT = struct.Struct("<8sHIBBH")
+IDENT = "<8sHIBBH"
+IDENT_SIZE = struct.calcsize(IDENT)
 MAGIC = b"U8SAMPLE"
 
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
@@ -51,7 +53,7 @@ def page_crc(data: bytes) -> int:
 
 
 def write_page(flags: int, granule: int, serial: int, number: int, lacing: bytes, body: bytes) -> bytes:
-    head = HEADER.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing
+    head = struct.pack(HEADER, b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing
     crc = page_crc(head + body)
     return head[:22] + struct.pack("<I", crc) + head[26:] + body
 
@@ -92,7 +94,7 @@ def write_payload(payload: bytes, streams: int = STREAMS, rate: int = RATE, segm
     """One physical stream: first pages of all logical streams, then pages by granule position."""
     lanes = []
     for s in range(streams):
-        packets = [(IDENT.pack(MAGIC, 1, rate, 1, 8, FRAME), 0)]
+        packets = [(struct.pack(IDENT, MAGIC, 1, rate, 1, 8, FRAME), 0)]
         done = 0
         for at in range(s * FRAME, len(payload), streams * FRAME):
             frame = payload[at : at + FRAME]
@@ -119,11 +121,11 @@ def read_pages(media: bytes) -> Iterator[Page]:
     """Pages in order of place; damaged ones too, marked. Bytes between pages are passed over."""
     view, at, end = memoryview(media), 0, len(media)
     while (at := media.find(b"OggS", at)) >= 0:
-        if at + HEADER.size > end:
+        if at + HEADER_SIZE > end:
             return
-        _, version, flags, granule, serial, number, crc, n = HEADER.unpack_from(media, at)
-        body_at = at + HEADER.size + n
-        lacing = bytes(view[at + HEADER.size : body_at])
+        _, version, flags, granule, serial, number, crc, n = struct.unpack_from(HEADER, media, at)
+        body_at = at + HEADER_SIZE + n
+        lacing = bytes(view[at + HEADER_SIZE : body_at])
         stop = body_at + sum(lacing)
         ok = version == 0 and len(lacing) == n and stop <= end and page_crc(media[at : at + 22] + bytes(4) + media[at + 26 : stop]) == crc
         yield Page(at, flags, granule, serial, number, lacing, view[body_at:stop], ok)
@@ -198,9 +200,9 @@ def read_payload(media: bytes) -> tuple[bytes, dict]:
         lanes.setdefault(p.serial, []).append(p)
     frames, seconds = [], 0.0
     for serial, lane in lanes.items():
-        if len(lane[0].data) != IDENT.size or not lane[0].data.startswith(MAGIC):
+        if len(lane[0].data) != IDENT_SIZE or not lane[0].data.startswith(MAGIC):
             continue
-        rate = IDENT.unpack(lane[0].data)[2]
+        rate = struct.unpack(IDENT, lane[0].data)[2]
         after = None
         for p in reversed(lane[1:]):  # dated back from the granule of the page's last packet
             end = p.end_granule if p.end_granule is not None else after if after is not None else len(p.data)
