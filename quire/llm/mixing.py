@@ -1,7 +1,8 @@
 """Mixing sources to target weights by repetition rates.
 
 Words are summed per source; every source gets a target; a source's rate is target over size, and
-each document is taken floor(rate) times plus once more if its seeded hash falls below the fraction.
+each document is taken floor(rate) times plus once more if its seeded hash falls below the fraction. Of a few
+seeds each source gets the one whose draws come nearest to its target; the choice rests on all documents.
 
 Targets: sources in code-point order, null last, weigh weights[0], weights[1], ... in turn and
 share the total by weight; a target stops at cap times its source's size, and the excess is
@@ -19,17 +20,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm import feistel
 from quire.llm.common import global_index, materialize, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix"
+#: Seeds that are tried per source.
+SEEDS = 32
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that an id and a seed decide: the first 13 hex digits of an md5."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+def hashed(doc_id: Column, seed: str = SEED) -> Column:
+    """A number below feistel.PRIME from an id and a seed: the first 13 hex digits of an md5, reduced."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % feistel.PRIME
+
+
+def draw(h: Column, a: Column, b: Column, c: Column) -> Column:
+    """A number in [0, 1) that a hashed id and the three numbers of a seed decide."""
+    p = F.lit(feistel.PRIME).cast("long")
+    t = (h * a + b) % p
+    return ((t * t + c) % p) / F.lit(float(feistel.PRIME))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -56,15 +67,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return ranked.select("source", "source_size", F.least(limit.cast("double"), share).alias("target"))
 
 
-def with_rates(docs: DataFrame, sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Join the target of its source and the number of copies to rows with (doc_id, source, size)."""
+def choose_seeds(sized: DataFrame, targets: DataFrame, seed: str = SEED, seeds: int = SEEDS) -> DataFrame:
+    """Add to targets the number of the seed whose draws bring the source's taken words nearest to its target.
+
+    A few very long documents can carry a source far off; one aggregate over all seeds finds a good one.
+    """
+    rated = sized.join(targets, sized.source.eqNullSafe(targets.source)).select(
+        targets.source, "size", "target", _rate().alias("_rate"), hashed(F.col("doc_id"), seed).alias("_h"))
+    sums = [
+        F.sum(F.col("size") * _copies(F.col("_rate"), draw(F.col("_h"), *(F.lit(v).cast("long") for v in k))))
+        for k in feistel.round_keys(seed, seeds)
+    ]
+    taken = rated.groupBy("source").agg(F.first("target").alias("target"), F.array(*sums).alias("_taken"))
+    off = F.transform("_taken", lambda x, i: F.struct(F.abs(x - F.col("target")).alias("off"), i.alias("seed")))
+    best = taken.select(F.col("source").alias("_s"), F.array_min(off).getField("seed").alias("seed"))
+    return targets.join(best, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def _rate() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+
+
+def _copies(rate: Column, u: Column) -> Column:
+    return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def with_rates(docs: DataFrame, sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """Join its source's size and target, and the number of copies, to rows with doc_id and source.
+
+    sized: (doc_id, source, size) of the same documents.
+    """
     sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    targets = source_targets(sizes, weights, cap)
-    hit = docs.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return hit.withColumn("_rate", rate).withColumn(
-        "copies", (F.floor("_rate") + (draw(F.col("doc_id")) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
-    ).drop("_rate")
+    chosen = materialize(choose_seeds(sized, source_targets(sizes, weights, cap), seed)).withColumnRenamed("source", "_source")
+    hit = docs.join(chosen, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    keys = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(k, "abc", strict=True)]) for k in feistel.round_keys(seed, SEEDS)])
+    key = F.element_at(keys, F.col("seed") + 1)
+    u = draw(hashed(F.col("doc_id"), seed), key.getField("a"), key.getField("b"), key.getField("c"))
+    return hit.withColumn("copies", _copies(_rate(), u)).drop("seed")
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -77,7 +116,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     """The mixed documents themselves: every row as often as it is taken, with the columns of docs."""
     columns = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "source")
-    sized = docs.select("source", word_count(F.col("text")).alias("size"))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     taken = with_rates(own, sized, weights, cap)
     copies = taken.where("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return copies.select("_row.*")
@@ -99,10 +138,16 @@ level AS (
 targets AS (
   SELECT source, source_size, least(CAST({CAP} * source_size AS DOUBLE), coalesce((SELECT rest * w / pool FROM level), 0)) AS target FROM ranked),
 rated AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rated
+  SELECT doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) % {feistel.PRIME} AS h
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+seeds(seed, a, b, c) AS (VALUES {", ".join(str((i, *k)) for i, k in enumerate(feistel.round_keys(SEED, SEEDS)))}),
+tried AS (
+  SELECT rated.doc_id, rated.source, rated.size, source_size, target, seed, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM (
+    SELECT rated.*, seed, (((h * a + b) % {feistel.PRIME} * ((h * a + b) % {feistel.PRIME}) + c) % {feistel.PRIME}) / {float(feistel.PRIME)} AS u
+    FROM rated CROSS JOIN seeds) AS rated),
+chosen AS (
+  SELECT source, seed FROM (SELECT source, seed, abs(sum(taken) - any_value(target)) AS off FROM tried GROUP BY source, seed)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1)
+SELECT doc_id, size, source_size, target, taken FROM tried JOIN chosen ON tried.seed = chosen.seed AND tried.source IS NOT DISTINCT FROM chosen.source
 """
