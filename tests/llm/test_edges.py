@@ -7,7 +7,7 @@ import corpus_pipeline
 from quire.llm import license_scan, mixing, ogg, packing, pii, quality, sharding, simhash, toxicity, url_filter
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
-WORDS = " ".join(f"plain{i} words." for i in range(60))
+WORDS = " ".join("".join(chr(97 + (i * (j + 3) + i // 26 + j) % 26) for j in range(3 + i % 4)) + "." * (i % 10 == 9) for i in range(120))
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, kind string, size string, fp string, n_words string"
 ROWS = [
     (1, None, "en", "a", 0, 0.1, "x", "s", "f", "n"),
