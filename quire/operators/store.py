@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.status import OWN, Vocabulary
+from quire.sources.work import freeze
 
-# The state vocabulary.
-REVIEW, STAGE1, SKIP = "reindex_review", "stage1_batch", "skip"
-STAGE1_STATES = ("queued_for_stage1", "indexing_running")
+# The columns of a listed record.
 RECORD_COLUMNS = (
     "pdf_id", "filename", "cnr_number", "file_size_bytes", "total_pages", "selected_start_page", "selected_end_page",
     "indexed_pages", "status", "retrieval_status", "index_ready", "chat_ready", "pending_pages", "index_source",
@@ -21,6 +21,39 @@ RECORD_COLUMNS = (
 )
 
 
+def record_list(records: DataFrame, text: str = "") -> DataFrame:
+    """All records, or those that a search finds, newest first, with the columns of a listed record."""
+    flags = {c: as_flag(F.col(c)) for c in ("index_ready", "chat_ready")}
+    return search(records, text, ["filename", "cnr_number", "pdf_id"]).select(*RECORD_COLUMNS).withColumns(flags).orderBy(F.desc("updated_at"), "pdf_id")
+
+
+def upsert_records(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Insert or update records; one that doesn't say how many pages are pending has those that are not indexed."""
+    pending = F.col("pending_pages") if "pending_pages" in new.columns else F.lit(None).cast("int")
+    full = new.withColumn("pending_pages", default_pending(pending, F.col("total_pages"), F.col("indexed_pages")))
+    return upsert(old, full, ["pdf_id"])
+
+
+def save_indexes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Insert or update saved indexes (pdf_id, index, created_at, updated_at), counting their entries."""
+    return upsert(old, new.withColumn("total_entries", F.coalesce(F.size("index"), F.lit(0))), ["pdf_id"])
+
+
+def read_index(saved: DataFrame, kind: str) -> DataFrame:
+    """Saved indexes as (pdf_id, index, total_entries, ...), whether they are stored as JSON or as arrays; bad JSON gives none."""
+    if saved.schema["index"].dataType.typeName() != "string":
+        return saved
+    parsed = F.from_json("index", kind)
+    return saved.withColumn("index", F.coalesce(parsed, F.array().cast(kind)))
+
+
+def page_of(first: DataFrame, second: DataFrame, pdf_id, page_num: int) -> DataFrame:
+    """One page of a document: from the first table, else from the second."""
+    wanted = (F.col("pdf_id") == pdf_id) & (F.col("page_num") == page_num)
+    a, b = (t.where(wanted).select("pdf_id", "page_num", "text") for t in (first, second))
+    return a.unionByName(b.join(a, ["pdf_id", "page_num"], "left_anti"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str = "updated_at", created: str | None = "created_at", ties: list[str] | None = None) -> DataFrame:
     """Insert or update by key: the row with the latest seq wins, new before old; created keeps its first value."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -89,47 +122,71 @@ def page_scan(pages: DataFrame, pdf_id, first: int | None = None, last: int | No
     return out.where(F.col("page_num") <= last) if last is not None else out
 
 
-def pending_sql(records: DataFrame) -> DataFrame:
-    """The pending queue as SQL sees it: nulls are not unequal."""
-    return records.where((F.col("pending_pages") > 0) & (F.col("deferred_decision") != SKIP) & (F.col("queue_bucket") != STAGE1))
+def _pending(v: Vocabulary) -> Column:
+    return (F.col("pending_pages") > 0) & (F.col("deferred_decision") != v.skip) & (F.col("queue_bucket") != v.first_bucket)
+
+
+def _oldest_first(queue: DataFrame) -> DataFrame:
+    return queue.orderBy("updated_at", "pdf_id")
+
 
+def pending_sql(records: DataFrame, v: Vocabulary = OWN) -> DataFrame:
+    """The pending queue as SQL sees it, oldest first: nulls are not unequal."""
+    return _oldest_first(records.where(_pending(v)))
 
-def pending_nullsafe(records: DataFrame) -> DataFrame:
+
+def pending_nullsafe(records: DataFrame, v: Vocabulary = OWN) -> DataFrame:
     """The pending list of the snapshot: a missing bucket counts as another one, decisions play no part."""
-    return records.where((F.coalesce("pending_pages", F.lit(0)) > 0) & ~F.col("queue_bucket").eqNullSafe(STAGE1))
+    return records.where((F.coalesce("pending_pages", F.lit(0)) > 0) & ~F.col("queue_bucket").eqNullSafe(v.first_bucket))
+
+
+def review_queue(records: DataFrame, v: Vocabulary = OWN) -> DataFrame:
+    return _oldest_first(records.where(F.col("queue_bucket") == v.review_bucket))
+
 
+def first_stage_queue(records: DataFrame, v: Vocabulary = OWN) -> DataFrame:
+    return _oldest_first(records.where((F.col("queue_bucket") == v.first_bucket) & F.col("status").isin(v.waiting, v.first_running)))
 
-def review_queue(records: DataFrame) -> DataFrame:
-    return records.where(F.col("queue_bucket") == REVIEW)
 
+def numbered(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """Number all rows from 1 in the given order, which must tell every row from the others.
 
-def stage1_queue(records: DataFrame) -> DataFrame:
-    return records.where((F.col("queue_bucket") == STAGE1) & F.col("status").isin(*STAGE1_STATES))
+    Rows are dealt over tasks by range, and a row's number is its place in its range behind the rows of the ranges
+    before; so no task sees them all. The dealt rows are written once, since ranges are sampled; then only one count a
+    range is gathered.
+    """
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = freeze(dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    cut = placed.withColumn("_range", F.shiftright("_at", 33).cast("int")).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    starts = sizes.select("_range", before.alias("_before"))
+    return cut.join(starts, "_range").withColumn(name, (F.col("_before") + F.col("_in") + 1).cast("int")).drop("_at", "_range", "_in", "_before")
 
 
-def queue_position(queue: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Add position, from 1, by (updated_at, pdf_id) within each group."""
-    return queue.withColumn("position", F.row_number().over(W.partitionBy(*(group or ["queue_bucket"])).orderBy("updated_at", "pdf_id")))
+def queue_position(queue: DataFrame) -> DataFrame:
+    """Add position, from 1, by (updated_at, pdf_id) in the whole queue."""
+    return numbered(queue, [F.col("updated_at"), F.col("pdf_id")], "position")
 
 
-def snapshot(records: DataFrame) -> DataFrame:
+def snapshot(records: DataFrame, v: Vocabulary = OWN) -> DataFrame:
     """(queue, pdf_id): every record once for each queue it stands in."""
-    pending = (F.coalesce("pending_pages", F.lit(0)) > 0) & ~F.col("queue_bucket").eqNullSafe(STAGE1)
+    pending = (F.coalesce("pending_pages", F.lit(0)) > 0) & ~F.col("queue_bucket").eqNullSafe(v.first_bucket)
     tags = F.array_compact(F.array(
         F.when(F.col("index_ready"), "index_ready"),
-        F.when(F.col("queue_bucket") == STAGE1, STAGE1),
+        F.when(F.col("queue_bucket") == v.first_bucket, v.first_bucket),
         F.when(pending, "pending_vectorization"),
         F.when(F.col("chat_ready"), "vectorized"),
-        F.when(F.col("queue_bucket") == REVIEW, REVIEW),
+        F.when(F.col("queue_bucket") == v.review_bucket, v.review_bucket),
         F.when(F.coalesce("last_error", F.lit("")) != "", "errors"),
     ))
     return records.select(F.explode(tags).alias("queue"), "pdf_id")
 
 
-def process_pending(records: DataFrame, now: Column) -> DataFrame:
+def process_pending(records: DataFrame, now: Column, v: Vocabulary = OWN) -> DataFrame:
     """Mark the pending records as vectorized with nothing pending."""
-    which = F.coalesce((F.col("pending_pages") > 0) & (F.col("deferred_decision") != SKIP) & (F.col("queue_bucket") != STAGE1), F.lit(False))
-    return update_where(records, which, now, status=F.lit("vectorized"), retrieval_status=F.lit("vectorized"), pending_pages=F.lit(0), chat_ready=F.lit(True))
+    which = F.coalesce(_pending(v), F.lit(False))
+    return update_where(records, which, now, status=F.lit(v.vectorized), retrieval_status=F.lit(v.vectorized), pending_pages=F.lit(0), chat_ready=F.lit(True))
 
 
 def recent(events: DataFrame, key: str, at: str, keep: int = 8) -> DataFrame:
@@ -139,7 +196,7 @@ def recent(events: DataFrame, key: str, at: str, keep: int = 8) -> DataFrame:
 
 
 def export_json(items: DataFrame, order: str) -> DataFrame:
-    """(pdf_id, total_items, index_json): the items of every document as one JSON text."""
+    """(pdf_id, total_items, index_json): the items of every document as one JSON text. A file's items are one index: bounded by its pages."""
     columns = [c for c in items.columns if c not in ("pdf_id", order)]
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in columns])))
     return items.groupBy("pdf_id").agg(

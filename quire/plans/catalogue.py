@@ -42,17 +42,21 @@ def base(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 PAGES = "SELECT source AS pdf_id, CAST(doc_id + 1 AS INT) AS page_num, coalesce(text, '') AS text FROM {documents}"
 RECORDS = """
 SELECT o_orderkey AS pdf_id, 'Batch_No_' || CAST(o_custkey % 50 AS STRING) || '_Ram_Vs_' || o_orderpriority || '.pdf' AS filename,
-  'CNR' || CAST(o_custkey AS STRING) AS cnr_number, CAST(o_orderkey % 40 + 1 AS INT) AS total_pages, CAST(o_custkey % 41 AS INT) AS indexed_pages,
-  CASE o_orderkey % 9 WHEN 0 THEN 'queued_for_stage1' WHEN 1 THEN 'indexing_running' WHEN 2 THEN 'vectorized' WHEN 3 THEN 'index_ready'
+  CASE WHEN o_custkey % 8 = 0 THEN '' ELSE 'CNR' || CAST(o_custkey AS STRING) END AS cnr_number, CAST(floor(o_totalprice) AS BIGINT) AS file_size_bytes,
+  CAST(o_orderkey % 40 + 1 AS INT) AS total_pages, CAST(o_orderkey % 3 + 1 AS INT) AS selected_start_page, CAST(o_orderkey % 40 + 1 AS INT) AS selected_end_page,
+  CAST(o_custkey % 41 AS INT) AS indexed_pages,
+  CASE o_orderkey % 9 WHEN 0 THEN 'first_stage_waiting' WHEN 1 THEN 'first_stage_running' WHEN 2 THEN 'vectorized' WHEN 3 THEN 'index_ready'
     WHEN 4 THEN 'failed' WHEN 5 THEN 'extracting_text' WHEN 6 THEN 'needs_review' WHEN 7 THEN 'building_index' ELSE 'Odd' END AS status,
-  CASE o_custkey % 6 WHEN 0 THEN 'vectorized' WHEN 1 THEN 'queued_for_full_ingestion' WHEN 2 THEN 'full_ingestion_running'
-    WHEN 3 THEN 'pending_deferred_ingestion' WHEN 4 THEN 'failed' ELSE '' END AS retrieval_status,
+  CASE o_custkey % 6 WHEN 0 THEN 'vectorized' WHEN 1 THEN 'full_ingestion_waiting' WHEN 2 THEN 'full_ingestion_running'
+    WHEN 3 THEN 'full_ingestion_deferred' WHEN 4 THEN 'failed' ELSE '' END AS retrieval_status,
   o_orderkey % 3 = 0 AS index_ready, o_custkey % 4 = 0 AS chat_ready,
   CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_custkey % 4 AS INT) END AS pending_pages,
-  CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'stage1_batch' WHEN 2 THEN 'reindex_review' ELSE 'index' END AS queue_bucket,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'toc-hybrid' ELSE '' END AS index_source,
+  CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'first_stage' WHEN 2 THEN 'review' ELSE 'index' END AS queue_bucket,
   CASE o_custkey % 5 WHEN 0 THEN 'skip' WHEN 1 THEN NULL ELSE 'pending' END AS deferred_decision,
   CASE WHEN o_orderkey % 11 = 0 THEN 'boom' ELSE '' END AS last_error,
   CASE WHEN o_orderkey % 13 = 0 THEN 'weak index' ELSE '' END AS review_reason,
+  'run ' || CAST(o_custkey % 3 AS STRING) AS batch_run_id, CAST(o_orderkey AS STRING) AS batch_enqueued_at,
   o_orderdate AS updated_at
 FROM {orders}"""
 #: One entry per (document, number): the least of repeated ones.

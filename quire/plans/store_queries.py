@@ -20,13 +20,21 @@ def _records(spark, d):
 
 # ---- scans and searches
 
-@query("record_list", f"SELECT pdf_id, filename, status, coalesce(pending_pages, -1) AS pending_pages, CAST(row_number() OVER (ORDER BY updated_at DESC, pdf_id) AS INT) AS place FROM ({R}) QUALIFY place <= 50")
+LISTED = ", ".join(c if c != "pending_pages" else "coalesce(pending_pages, -1) AS pending_pages" for c in store.RECORD_COLUMNS)
+
+
+@query("record_list", f"SELECT {LISTED} FROM ({R})")
 def record_list(spark, d):
-    """The first page of the list, newest first; the limit makes it a distributed top-k."""
-    top = _records(spark, d).select(
-        "pdf_id", "filename", "status", F.coalesce("pending_pages", F.lit(-1)).alias("pending_pages"), "updated_at").orderBy(F.desc("updated_at"), "pdf_id").limit(50)
-    w = W.orderBy(F.desc("updated_at"), "pdf_id")  # over at most 50 rows
-    return top.withColumn("place", F.row_number().over(w)).drop("updated_at")
+    """All records as they are listed, newest first."""
+    return store.record_list(_records(spark, d)).withColumn("pending_pages", F.coalesce("pending_pages", F.lit(-1)))
+
+
+@query("display_names", f"""
+SELECT pdf_id, coalesce(nullif(cnr_number, ''), filename) AS card, coalesce(nullif(cnr_number, ''), CAST(pdf_id AS VARCHAR)) AS case_name, coalesce(nullif(filename, ''), CAST(pdf_id AS VARCHAR)) AS file FROM ({R})""")
+def display_names(spark, d):
+    r = _records(spark, d)
+    cnr, file, key = F.col("cnr_number"), F.col("filename"), F.col("pdf_id")
+    return r.select("pdf_id", S.display_name(cnr, file).alias("card"), S.display_name(cnr, key).alias("case_name"), S.display_name(file, key).alias("file"))
 
 
 @query("record_search", f"SELECT pdf_id, filename FROM ({R}) WHERE filename ILIKE '%no_12%' OR cnr_number ILIKE '%no_12%' OR CAST(pdf_id AS VARCHAR) ILIKE '%no_12%'")
@@ -53,7 +61,7 @@ def parent_child(spark, d):
 
 # ---- queues
 
-PENDING = "pending_pages > 0 AND deferred_decision <> 'skip' AND queue_bucket <> 'stage1_batch'"
+PENDING = "pending_pages > 0 AND deferred_decision <> 'skip' AND queue_bucket <> 'first_stage'"
 
 
 @query("queue_pending_sql", f"SELECT pdf_id FROM ({R}) WHERE {PENDING}")
@@ -61,25 +69,25 @@ def queue_pending_sql(spark, d):
     return store.pending_sql(_records(spark, d)).select("pdf_id")
 
 
-@query("queue_pending_nullsafe", f"SELECT pdf_id FROM ({R}) WHERE coalesce(pending_pages, 0) > 0 AND queue_bucket IS DISTINCT FROM 'stage1_batch'")
+@query("queue_pending_nullsafe", f"SELECT pdf_id FROM ({R}) WHERE coalesce(pending_pages, 0) > 0 AND queue_bucket IS DISTINCT FROM 'first_stage'")
 def queue_pending_nullsafe(spark, d):
     return store.pending_nullsafe(_records(spark, d)).select("pdf_id")
 
 
-@query("queue_review", f"SELECT pdf_id, updated_at FROM ({R}) WHERE queue_bucket = 'reindex_review'")
+@query("queue_review", f"SELECT pdf_id, updated_at FROM ({R}) WHERE queue_bucket = 'review'")
 def queue_review(spark, d):
     return store.review_queue(_records(spark, d)).select("pdf_id", "updated_at")
 
 
-@query("queue_stage1", f"SELECT pdf_id FROM ({R}) WHERE queue_bucket = 'stage1_batch' AND status IN ('queued_for_stage1', 'indexing_running')")
+@query("queue_stage1", f"SELECT pdf_id FROM ({R}) WHERE queue_bucket = 'first_stage' AND status IN ('first_stage_waiting', 'first_stage_running')")
 def queue_stage1(spark, d):
-    return store.stage1_queue(_records(spark, d)).select("pdf_id")
+    return store.first_stage_queue(_records(spark, d)).select("pdf_id")
 
 
 SNAP_SQL = f"""
-SELECT 'index_ready' AS queue, pdf_id FROM ({R}) WHERE index_ready UNION ALL SELECT 'stage1_batch', pdf_id FROM ({R}) WHERE queue_bucket = 'stage1_batch'
-UNION ALL SELECT 'pending_vectorization', pdf_id FROM ({R}) WHERE coalesce(pending_pages, 0) > 0 AND queue_bucket IS DISTINCT FROM 'stage1_batch'
-UNION ALL SELECT 'vectorized', pdf_id FROM ({R}) WHERE chat_ready UNION ALL SELECT 'reindex_review', pdf_id FROM ({R}) WHERE queue_bucket = 'reindex_review'
+SELECT 'index_ready' AS queue, pdf_id FROM ({R}) WHERE index_ready UNION ALL SELECT 'first_stage', pdf_id FROM ({R}) WHERE queue_bucket = 'first_stage'
+UNION ALL SELECT 'pending_vectorization', pdf_id FROM ({R}) WHERE coalesce(pending_pages, 0) > 0 AND queue_bucket IS DISTINCT FROM 'first_stage'
+UNION ALL SELECT 'vectorized', pdf_id FROM ({R}) WHERE chat_ready UNION ALL SELECT 'review', pdf_id FROM ({R}) WHERE queue_bucket = 'review'
 UNION ALL SELECT 'errors', pdf_id FROM ({R}) WHERE last_error <> ''"""
 
 
@@ -93,10 +101,11 @@ def queue_lengths(spark, d):
     return store.snapshot(_records(spark, d)).groupBy("queue").agg(F.count("*").alias("n"))
 
 
-@query("queue_position", f"SELECT pdf_id, CAST(row_number() OVER (PARTITION BY queue_bucket, status ORDER BY updated_at, pdf_id) AS INT) AS position FROM ({R}) WHERE queue_bucket = 'stage1_batch'")
+@query("queue_position", f"SELECT pdf_id, CAST(row_number() OVER (ORDER BY updated_at, pdf_id) AS INT) AS position FROM ({R}) WHERE queue_bucket = 'first_stage'")
 def queue_position(spark, d):
-    q = _records(spark, d).where(F.col("queue_bucket") == store.STAGE1)
-    return store.queue_position(q, ["queue_bucket", "status"]).select("pdf_id", "position")
+    """Places in one whole queue."""
+    q = _records(spark, d).where(F.col("queue_bucket") == S.OWN.first_bucket).select("pdf_id", "updated_at")
+    return store.queue_position(q).select("pdf_id", "position")
 
 
 @query("pending_process", f"""
@@ -110,29 +119,28 @@ def pending_process(spark, d):
 
 # ---- statuses
 
-def _tone_sql() -> str:
-    s, r = "lower(coalesce(status, ''))", "lower(coalesce(retrieval_status, ''))"
-    return f"""CASE WHEN queue_bucket = 'reindex_review' OR {s} = 'needs_review' OR review_reason <> '' THEN 'review'
-  WHEN {s} = 'failed' OR {r} = 'failed' THEN 'error' WHEN contains({r}, 'running') OR contains({s}, 'running') THEN 'running'
-  WHEN {r} = 'vectorized' OR {s} = 'vectorized' OR chat_ready THEN 'ready'
-  WHEN {s} = 'index_ready' OR index_ready THEN CASE WHEN coalesce(pending_pages, 0) > 0 THEN 'staged' ELSE 'indexed' END
-  WHEN coalesce(pending_pages, 0) > 0 OR {r} IN ('pending_deferred_ingestion', 'queued_for_full_ingestion') THEN 'queued' ELSE 'neutral' END"""
-
-
-TONE_SQL = f"SELECT *, {_tone_sql()} AS tone FROM ({R})"
-LABEL_SQL = "CASE tone " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.TONE_LABELS.items()) + " ELSE 'Saved' END"
-TEXT_SQL = "CASE lower(status) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.STATUS_TEXTS.items()) + """ ELSE
-  CASE WHEN status = 'index_ready' AND retrieval_status = 'queued_for_full_ingestion' THEN 'Index Ready, Review Pending' WHEN status = 'index_ready' THEN 'Index Ready'
-    WHEN retrieval_status = 'full_ingestion_running' THEN 'Full Ingestion Running' WHEN status = 'vectorized' OR retrieval_status = 'vectorized' THEN 'Vectorized'
-    WHEN status = 'failed' OR retrieval_status = 'failed' THEN 'Failed' ELSE status END END"""
-STEP_SQL = """CASE WHEN review_reason <> '' OR status = 'needs_review' OR queue_bucket = 'reindex_review' THEN 'Sent to review' WHEN status = 'building_index' THEN 'Building index'
+_S, _R = "lower(coalesce(status, ''))", "lower(coalesce(retrieval_status, ''))"
+TONE_SQL = f"""SELECT *, CASE WHEN queue_bucket = 'review' OR {_S} = 'needs_review' OR review_reason <> '' THEN 'review'
+  WHEN {_S} = 'failed' OR {_R} = 'failed' THEN 'error' WHEN contains({_R}, 'running') OR contains({_S}, 'running') THEN 'running'
+  WHEN {_R} = 'vectorized' OR {_S} = 'vectorized' OR chat_ready THEN 'ready'
+  WHEN {_S} = 'index_ready' OR index_ready THEN CASE WHEN coalesce(pending_pages, 0) > 0 THEN 'staged' ELSE 'indexed' END
+  WHEN coalesce(pending_pages, 0) > 0 OR {_R} IN ('full_ingestion_deferred', 'full_ingestion_waiting') THEN 'queued' ELSE 'neutral' END AS tone FROM ({R})"""
+LABEL_SQL = """CASE tone WHEN 'review' THEN 'Review Queue' WHEN 'ready' THEN 'Vectorized' WHEN 'indexed' THEN 'Indexed' WHEN 'staged' THEN 'Indexed Only'
+  WHEN 'queued' THEN 'Pending Queue' WHEN 'running' THEN 'Processing' WHEN 'error' THEN 'Needs Review' ELSE 'Saved' END"""
+TEXT_SQL = """CASE WHEN status = 'first_stage_waiting' THEN 'Waiting for Index' WHEN status = 'first_stage_running' THEN 'Index Running' WHEN status = 'extracting_text' THEN 'Extracting Text'
+  WHEN status = 'building_index' THEN 'Building Index'
+  WHEN status = 'index_ready' AND retrieval_status = 'full_ingestion_waiting' THEN 'Index Ready, Review Pending' WHEN status = 'index_ready' THEN 'Index Ready'
+  WHEN retrieval_status = 'full_ingestion_running' THEN 'Full Ingestion Running' WHEN status = 'vectorized' OR retrieval_status = 'vectorized' THEN 'Vectorized'
+  WHEN status = 'failed' OR retrieval_status = 'failed' THEN 'Failed' ELSE status END"""
+STEP_SQL = """CASE WHEN review_reason <> '' OR status = 'needs_review' OR queue_bucket = 'review' THEN 'Sent to review' WHEN status = 'building_index' THEN 'Building index'
   WHEN status = 'vectorizing' THEN 'Vectorizing' WHEN status = 'extracting_text' OR retrieval_status = 'full_ingestion_running' THEN 'Extracting text'
-  WHEN status = 'vectorized' OR index_ready OR chat_ready THEN 'Finalized' WHEN status = 'queued_for_stage1' THEN 'Queued' ELSE 'Ready' END"""
-SAY_SQL = f"""CASE WHEN status = 'indexing_running' THEN '{S.SAY_INDEXING}' WHEN review_reason <> '' THEN 'Flagged for review: ' || review_reason
-  WHEN status = 'queued_for_stage1' OR queue_bucket = 'stage1_batch' THEN '{S.SAY_QUEUED}' WHEN retrieval_status = 'full_ingestion_running' AND pending_pages > 0 THEN '{S.SAY_EXTRACTING}'
-  WHEN status = 'index_ready' AND pending_pages > 0 AND retrieval_status = 'queued_for_full_ingestion' THEN '{S.SAY_LEGACY}Remaining pages are queued for full ingestion.'
-  WHEN status = 'index_ready' AND pending_pages > 0 THEN '{S.SAY_LEGACY}Remaining pages can be vectorized from the deferred queue.'
-  WHEN pending_pages > 0 THEN '{S.SAY_LEGACY}Remaining pages are still pending vectorization.' ELSE '{S.SAY_READY}' END"""
+  WHEN status = 'vectorized' OR index_ready OR chat_ready THEN 'Finalized' WHEN status = 'first_stage_waiting' THEN 'Queued' ELSE 'Ready' END"""
+SAY_SQL = """CASE WHEN status = 'first_stage_running' THEN 'The index of the whole PDF is being built in the background.' WHEN review_reason <> '' THEN 'Flagged for review: ' || review_reason
+  WHEN status = 'first_stage_waiting' OR queue_bucket = 'first_stage' THEN 'Uploaded; the whole PDF waits for its index. You may close the browser, the backend goes on.'
+  WHEN retrieval_status = 'full_ingestion_running' AND pending_pages > 0 THEN 'All pages are being read and vectorized before the last index is built.'
+  WHEN status = 'index_ready' AND pending_pages > 0 AND retrieval_status = 'full_ingestion_waiting' THEN 'Legacy partial record detected. Remaining pages are queued for full ingestion.'
+  WHEN status = 'index_ready' AND pending_pages > 0 THEN 'Legacy partial record detected. Remaining pages can be vectorized from the deferred queue.'
+  WHEN pending_pages > 0 THEN 'Legacy partial record detected. Remaining pages are still pending vectorization.' ELSE 'This PDF is fully ready in the backend library.' END"""
 
 
 def _toned(spark, d):
@@ -160,7 +168,7 @@ def tone_counts(spark, d):
         F.count_if(t == "review").alias("review"), F.count_if(~F.col("index_ready")).alias("not_ready"))
 
 
-RUNNERS = """SELECT event_id, event_type = 'click' AS running, event_id % 5 = 0 AS stopping, event_id % 7 = 0 AS paused, event_id % 2 = 0 AS other,
+RUNNERS = """SELECT event_id, event_type = 'click' AS running, event_id % 5 = 0 AS stopping, event_id % 7 = 0 AS paused, event_id % 2 = 0 AS other, event_id % 13 = 0 AS other_stopping,
   CAST(event_id % 90 AS INT) AS processed, CAST(user_id % 60 AS INT) AS total, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 1000000.0 - value * 3 END AS beat,
   CASE event_id % 6 WHEN 0 THEN 'toc' WHEN 1 THEN 'toc-image' WHEN 2 THEN 'auto' WHEN 3 THEN 'manual' WHEN 4 THEN 'toc-stitch' ELSE NULL END AS source FROM {events}"""
 AGE_SQL = "CASE WHEN coalesce(beat, 0) = 0 THEN 0 ELSE CAST(greatest(round(1000000 - beat), 0) AS BIGINT) END"
@@ -172,14 +180,16 @@ def heartbeat_age(spark, d):
 
 
 @query("system_status", f"""
-SELECT event_id, CASE WHEN running AND {AGE_SQL} > 90 THEN 'stuck' WHEN stopping THEN 'stopping' WHEN paused THEN 'paused' WHEN running OR other THEN 'running' ELSE 'idle' END AS status,
+SELECT event_id, CASE WHEN running AND {AGE_SQL} > 90 THEN 'stuck' WHEN (running AND stopping) OR other_stopping THEN 'stopping' WHEN paused THEN 'paused' WHEN running OR other THEN 'running' ELSE 'idle' END AS status,
+  CASE WHEN running AND {AGE_SQL} > 90 THEN 'Stuck' WHEN paused THEN 'Paused' WHEN running AND stopping THEN 'Stopping' WHEN running THEN 'Running' ELSE 'Idle' END AS runner,
   CASE WHEN running THEN least(processed + 1, total) ELSE 0 END AS position,
   CASE WHEN source IN ('toc', 'toc-image') THEN 'TOC' WHEN source = 'auto' THEN 'AI' WHEN source = 'manual' THEN 'MAN' ELSE 'GAP' END AS badge FROM ({plain(RUNNERS)})""")
 def system_status(spark, d):
-    c = F.col
-    age = S.heartbeat_age(F.lit(1000000.0), c("beat"))
-    return base(spark, d, RUNNERS).select(
-        "event_id", S.system_status(age, c("running"), c("stopping"), c("paused"), c("running") | c("other")).alias("status"),
+    c, now = F.col, F.lit(1000000.0)
+    main = F.struct("running", c("stopping").alias("pausing"), "paused", "beat")
+    others = F.array(F.struct(c("other").alias("running"), c("other_stopping").alias("stopping")))
+    return base(spark, d, RUNNERS).withColumn("main", main).select(
+        "event_id", S.system_status(c("main"), others, now).alias("status"), S.runner_label(c("main"), now).alias("runner"),
         S.runner_position(c("running"), c("processed"), c("total")).alias("position"), S.source_badge(c("source")).alias("badge"))
 
 
@@ -250,13 +260,13 @@ def page_clamp(spark, d):
     return f.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("f.tocFrom", F.lit(-1)).alias("ntf"), F.coalesce("f.tocTo", F.lit(-1)).alias("ntt"), c("f.pdfFrom").alias("npf"), c("f.pdfTo").alias("npt"))
 
 
-STAGE_SQL = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STAGE_LABELS.items()) + " ELSE trim(replace(k, '_', ' ')) END"
+STAGE_SQL = "CASE k WHEN 'ocr_time' THEN 'OCR' WHEN 'toc_detection' THEN 'TOC detection' WHEN 'click' THEN 'A click' ELSE trim(replace(k, '_', ' ')) END"
 KEYS = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ocr_time' WHEN 1 THEN 'toc_detection' WHEN 2 THEN 'some_' || event_type || '_' ELSE event_type END AS k FROM {events}"
 
 
 @query("stage_label", f"SELECT event_id, {STAGE_SQL} AS label FROM ({plain(KEYS)})")
 def stage_label(spark, d):
-    return base(spark, d, KEYS).select("event_id", T.stage_label(F.col("k")).alias("label"))
+    return base(spark, d, KEYS).select("event_id", T.stage_label(F.col("k"), {"click": "A click"}).alias("label"))
 
 
 SUBS = "SELECT p_brand AS brand, p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN 'x' ELSE CAST(p_size AS STRING) END AS code, p_name AS name FROM {part}"
@@ -304,10 +314,11 @@ def edit_rows(spark, d):
     return rows.where("ord != 2").unionByName(added).select("pdf_id", "title", F.row_number().over(w).alias("place"))
 
 
-@query("row_slice", f"SELECT pdf_id, status, CAST(row_number() OVER (PARTITION BY status ORDER BY updated_at DESC, pdf_id) AS INT) AS n FROM ({R}) QUALIFY n BETWEEN 11 AND 30")
+@query("row_slice", f"SELECT pdf_id, status, CAST(row_number() OVER (ORDER BY updated_at DESC, pdf_id) AS INT) AS n FROM ({R}) WHERE status <> 'failed' QUALIFY n BETWEEN 11 AND 130")
 def row_slice(spark, d):
-    w = W.partitionBy("status").orderBy(F.desc("updated_at"), "pdf_id")
-    return _records(spark, d).select("pdf_id", "status", F.row_number().over(w).alias("n")).where(F.col("n").between(11, 30))
+    """Rows 11 to 130 of the filtered list, newest first."""
+    listed = _records(spark, d).where("status != 'failed'").select("pdf_id", "status", "updated_at")
+    return store.numbered(listed, [F.desc("updated_at"), F.asc("pdf_id")], "n").where(F.col("n").between(11, 130)).drop("updated_at")
 
 
 @query("recent_cache", "SELECT user_id, max(ts) AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, user_id LIMIT 8")
@@ -339,6 +350,33 @@ def page_upsert(spark, d):
     return store.upsert(base(spark, d, OLD_PAGES), base(spark, d, NEW_PAGES), ["pdf_id", "page_num"])
 
 
+@query("record_pending_default", f"""
+SELECT pdf_id, CASE WHEN pdf_id % 2 = 0 THEN coalesce(pending_pages, greatest(total_pages - indexed_pages, 0)) ELSE coalesce(pending_pages, -1) END AS pending_pages,
+  CASE WHEN pdf_id % 2 = 0 THEN {NOW} ELSE updated_at END AS updated_at, updated_at AS created_at FROM ({R})""")
+def record_pending_default(spark, d):
+    """Every second record is stored again; its pending pages follow from its counts where they aren't given."""
+    old = _records(spark, d).withColumn("created_at", F.col("updated_at"))
+    again = old.where("pdf_id % 2 = 0").withColumns({"updated_at": F.expr(NOW), "created_at": F.expr(NOW)})
+    out = store.upsert_records(old, again)
+    return out.select("pdf_id", F.coalesce("pending_pages", F.lit(-1)).alias("pending_pages"), "updated_at", "created_at")
+
+
+@query("index_upsert", f"""
+WITH e AS ({plain(ENTRIES)}), n AS (SELECT pdf_id, count(*) AS n FROM e WHERE pdf_id % 3 = 0 AND seq <= 2 GROUP BY pdf_id), o AS (SELECT pdf_id, count(*) AS n FROM e WHERE pdf_id % 2 = 0 GROUP BY pdf_id)
+SELECT coalesce(n.pdf_id, o.pdf_id) AS pdf_id, CAST(coalesce(n.n, o.n) AS INT) AS total_entries, CASE WHEN o.pdf_id IS NOT NULL THEN TIMESTAMP '1999-01-01 00:00:00' ELSE {NOW} END AS created_at
+FROM o FULL JOIN n ON o.pdf_id = n.pdf_id""")
+def index_upsert(spark, d):
+    """Saved indexes replaced by newer ones, with the number of their entries."""
+    def saved(rows, at):
+        listed = rows.groupBy("pdf_id").agg(F.array_sort(F.collect_list(F.struct("seq", "qty"))).alias("index"))
+        return listed.withColumns({"created_at": F.expr(at), "updated_at": F.expr(at)})
+
+    e = base(spark, d, ENTRIES)
+    none = saved(e.limit(0), NOW).withColumn("total_entries", F.lit(0))
+    first = store.save_indexes(none, saved(e.where("pdf_id % 2 = 0"), "TIMESTAMP '1999-01-01 00:00:00'"))
+    return store.save_indexes(first, saved(e.where("pdf_id % 3 = 0 AND seq <= 2"), NOW)).select("pdf_id", "total_entries", "created_at")
+
+
 @query("partial_update", f"SELECT pdf_id, CASE WHEN pdf_id % 5 = 0 THEN 'redo' ELSE review_reason END AS review_reason, CASE WHEN pdf_id % 5 = 0 THEN {NOW} ELSE updated_at END AS updated_at FROM ({R})")
 def partial_update(spark, d):
     out = store.update_where(_records(spark, d), F.col("pdf_id") % 5 == 0, F.expr(NOW), review_reason=F.lit("redo"))

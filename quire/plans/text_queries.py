@@ -13,8 +13,12 @@ QUESTION = "Licensed under the Apache License for the people of this place"
 CURRENT = 40
 
 
+def words_sql(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
+
+
 def tokens_sql(x: str) -> str:
-    return rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1)"
+    return f"list_filter({words_sql(x)}, lambda t: length(t) > 1)"
 
 
 P = plain(PAGES)
@@ -25,7 +29,7 @@ def vectors_sql(source: str, key: str, text: str) -> str:
     return f"""
   SELECT {key}, idx, c / sqrt(sum(CAST(c * c AS DOUBLE)) OVER (PARTITION BY {key})) AS value FROM (
     SELECT {key}, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 384 AS idx, count(*) AS c FROM (
-      SELECT {key}, unnest(CASE WHEN len(ts) = 0 THEN ['_'] ELSE ts END) AS t FROM (SELECT {key}, {tokens_sql(text)} AS ts FROM {source}))
+      SELECT {key}, unnest(CASE WHEN len(ts) = 0 THEN ['_'] ELSE ts END) AS t FROM (SELECT {key}, {words_sql(text)} AS ts FROM {source}))
     GROUP BY ALL)"""
 
 
@@ -156,28 +160,23 @@ def seed_similarity_max(spark, d):
     return sims.groupBy("vec_id").agg(F.round(F.greatest(F.lit(0.0), F.max("x")), 6).alias("sim"))
 
 
-ITEMS = "SELECT CAST(item_id AS INT) AS ord, substr(text, 1, 40) AS title, CAST(item_id * 7 % 60 + 1 AS INT) AS page_from FROM {benchmark} WHERE item_id < 12"
-LEX = """hits + hits / nq + CASE WHEN phrase THEN 2.5 ELSE 0 END"""
+ITEMS = "SELECT CAST(item_id AS INT) AS ord, text AS title, CAST(item_id * 7 % 60 + 1 AS INT) AS page_from FROM {benchmark}"
 PAIRS_SQL = f"""
 items AS ({plain(ITEMS)}), pages AS ({P}),
+asked AS (SELECT ord, t, count(*) AS times FROM (SELECT ord, unnest({tokens_sql('title')}) AS t FROM items) GROUP BY ALL),
+said AS (SELECT DISTINCT pdf_id, page_num, t FROM (SELECT pdf_id, page_num, unnest({tokens_sql('text')}) AS t FROM pages)),
+hit_counts AS (SELECT pdf_id, page_num, ord, sum(times) AS hits FROM said JOIN asked USING (t) GROUP BY ALL),
 pairs AS (
-  SELECT pdf_id, ord, title, page_from, page_num, len(list_filter(qt, lambda t: list_contains(tt, t))) AS hits, len(list_distinct(qt)) AS nq,
-    contains(lower(text), lower(trim(title))) AS phrase
-  FROM (SELECT *, {tokens_sql('text')} AS tt FROM pages) CROSS JOIN (SELECT *, {tokens_sql('title')} AS qt FROM items)),
-lexed AS (SELECT pdf_id, ord, title, page_from, page_num, CASE WHEN nq = 0 THEN 0 ELSE {LEX} END AS lex FROM pairs)"""
-
-
-def _pairs(spark, d):
-    """A stated set of twelve titles against all pages."""
-    items = base(spark, d, ITEMS).withColumn("_qt", T.tokens(F.col("title")))
-    pages = _pages(spark, d).withColumn("_tt", T.tokens(F.col("text")))
-    lex = T.lexical_overlap(F.col("title"), F.col("text"), F.col("_qt"), F.col("_tt"))
-    return pages.join(F.broadcast(items)).select("pdf_id", "ord", "title", "page_from", "page_num", lex.alias("lex"))
+  SELECT pages.pdf_id, items.ord, title, page_from, pages.page_num, coalesce(hits, 0) AS hits, len(list_distinct({tokens_sql('title')})) AS nq, contains(lower(text), lower(trim(title))) AS phrase
+  FROM pages CROSS JOIN items LEFT JOIN hit_counts ON hit_counts.pdf_id = pages.pdf_id AND hit_counts.page_num = pages.page_num AND hit_counts.ord = items.ord),
+lexed AS (SELECT pdf_id, ord, title, page_from, page_num, CASE WHEN nq = 0 THEN 0 ELSE hits + hits / nq + CASE WHEN phrase THEN 2.5 ELSE 0 END END AS lex FROM pairs)"""
 
 
 @query("lexical_overlap", f"WITH {PAIRS_SQL} SELECT ord, page_num, round(lex, 6) AS lex FROM lexed WHERE lex > 0")
 def lexical_overlap(spark, d):
-    return _pairs(spark, d).where("lex > 0").select("ord", "page_num", F.round("lex", 6).alias("lex"))
+    """Every benchmark text against every page."""
+    pairs = retrieve.lexical_pairs(_pages(spark, d), base(spark, d, ITEMS))
+    return pairs.select("ord", "page_num", F.round("lex", 6).alias("lex"))
 
 
 @query("verify_items", f"""
@@ -198,12 +197,15 @@ SELECT pdf_id, ord, CAST(vf AS INT) AS vf, CAST(CASE WHEN vf < nxt THEN greatest
   CASE WHEN hit IS NULL THEN 'toc_only' WHEN abs(hit - page_from) <= 2 THEN 'verified' ELSE 'weak_match' END AS status, coalesce(matched, []) AS matched
 FROM started""")
 def verify_items(spark, d):
+    """Every benchmark text as an entry of every document."""
     pages = _pages(spark, d)
     items = base(spark, d, ITEMS)
-    sem = retrieve.similarity(pages, items.select("ord", F.col("title").alias("question")), "page_num", "ord")
-    scored = _pairs(spark, d).join(sem, ["ord", "page_num"], "left").withColumn("score", F.coalesce("sem", F.lit(0.0)) * 2 + F.col("lex") * 1.5)
-    hits = retrieve.rank_pages(scored.withColumn("score", F.round("score", 9)), ["pdf_id", "ord"])
-    entries = pages.select("pdf_id").distinct().join(F.broadcast(items)).select(
-        "pdf_id", "ord", "title", F.col("page_from").alias("pageFrom"), (F.col("page_from") + 2).alias("pageTo"))
+    lex = retrieve.lexical_pairs(pages, items)
+    keyed = pages.withColumn("_key", F.struct("pdf_id", "page_num"))
+    sem = retrieve.similarity(keyed, items.select("ord", F.col("title").alias("question")), "_key", "ord").select("_key.*", "ord", "sem")
+    score = F.coalesce("sem", F.lit(0.0)) * 2 + F.coalesce("lex", F.lit(0.0)) * 1.5
+    scored = lex.join(sem, ["pdf_id", "page_num", "ord"], "full").withColumn("score", F.round(score, 9))
+    hits = retrieve.rank_pages(scored, ["pdf_id", "ord"])
+    entries = base(spark, d, "SELECT pdf_id, ord, title, page_from AS pageFrom, page_from + 2 AS pageTo FROM (SELECT DISTINCT source AS pdf_id FROM {documents}) AS d JOIN (" + ITEMS + ") AS i ON TRUE")
     out = retrieve.verify(entries, hits.select("pdf_id", "ord", "rank", "page_num"))
     return out.select("pdf_id", "ord", F.col("verifiedPageFrom").alias("vf"), F.col("verifiedPageTo").alias("vt"), F.col("verificationStatus").alias("status"), F.col("matchedPages").alias("matched"))

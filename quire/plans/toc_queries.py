@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import embed
 from quire.functions import text as T
 from quire.operators import classify, ranges, toc
 from quire.plans.catalogue import ENTRIES, PAGES, TOC_LINES, base, plain, query, read
@@ -20,7 +19,7 @@ def _toc(spark, d) -> DataFrame:
     return base(spark, d, TOC_LINES).groupBy("pdf_id").agg(F.array_join(F.transform(listed, lambda s: s.line), "\n").alias("text"))
 
 
-CLEAN = r"regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '\b(t0o|t0)\b', 'to', 'gi')"
+CLEAN = r"regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '\b(t0|t0o)\b', 'to', 'gi')"
 STITCH_SQL = rf"""{TOC_SQL},
 split AS (SELECT pdf_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM toc),
 cleaned AS (SELECT pdf_id, pos, {CLEAN} AS line FROM split WHERE {CLEAN} <> ''),
@@ -117,27 +116,31 @@ def _hints_sql(hints) -> str:
     return " + ".join(f"CAST(contains(lower(t), '{h}') AS INT)" for h in hints)
 
 
+SEEDS = ", ".join(f"({k}, '{x}')" for k, x in enumerate(toc.SEED_TEXTS))
 SCORE_SQL = rf"""
 raw AS ({plain(SCORED)}),
-cut AS (SELECT pdf_id, page_num, substr(text, 1, 12000) AS t FROM raw),
+cut AS (SELECT pdf_id, page_num, translate(substr(text, 1, 12000), '{T.DEVANAGARI_DIGITS}', '{T.ASCII_DIGITS}') AS t FROM raw),
+seeds(seed, x) AS (VALUES {SEEDS}),
+seed_v AS ({vectors_sql("seeds", "seed", "x")}), page_v AS ({vectors_sql("cut", "page_num", "t")}),
+likeness AS (
+  SELECT page_num, greatest(0, max(s)) AS emb FROM (SELECT page_num, seed, sum(page_v.value * seed_v.value) AS s FROM page_v JOIN seed_v USING (idx) GROUP BY page_num, seed) GROUP BY page_num),
 parts AS (
-  SELECT pdf_id, page_num,
+  SELECT pdf_id, page_num, coalesce(emb, 0) AS emb,
     regexp_matches(regexp_replace(t, '(?i)\bindex\b\s*(page|no|number|finger)', '#', 'g'), '(?i)\bindex\b|\btable\s+of\s+contents\b') AS strong,
     regexp_matches(t, '(?i)(?:sr\.?\s*no\.?|particulars?\s+of\s+(?:the\s+)?documents?|(?:page|pg)\.?\s*no\.?(?:\s|$)|page\s+number|annexure|sheet\s+count)') AS struct,
     {_hints_sql(toc.HEADER_HINTS)} AS header_hits, {_hints_sql(toc.STRUCT_HINTS)} AS struct_hits,
     len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '^\s*[0-9]+[.)/]?\s+.{{5,200}}[0-9]+\s*$'))) AS row_hits
-  FROM cut),
+  FROM cut LEFT JOIN likeness USING (page_num)),
 scored AS (
-  SELECT *, CASE WHEN strong THEN 3.5 ELSE 0 END + CASE WHEN struct THEN 2.0 ELSE 0 END + least(header_hits, 4) * 1.5 + least(struct_hits, 6) * 0.7 + least(row_hits, 8) AS score FROM parts),
+  SELECT *, CASE WHEN strong THEN 3.5 ELSE 0 END + CASE WHEN struct THEN 2.0 ELSE 0 END + least(header_hits, 4) * 1.5 + least(struct_hits, 6) * 0.7 + least(row_hits, 8) + emb * 4 AS score FROM parts),
 cand AS (SELECT *, row_number() OVER (PARTITION BY pdf_id ORDER BY round(score, 6) DESC, page_num DESC) AS rank FROM scored QUALIFY rank <= 6)"""
 
 
 def _scored(spark, d) -> DataFrame:
-    return base(spark, d, SCORED).select("pdf_id", "page_num", toc.page_score(F.col("text")).alias("s")).select(
-        "pdf_id", "page_num", "s.strong", "s.struct", "s.header_hits", "s.struct_hits", "s.row_hits", F.round("s.score", 6).alias("score"))
+    return toc.with_page_score(base(spark, d, SCORED)).drop("text").withColumns({"emb": F.round("emb", 6), "score": F.round("score", 6)})
 
 
-@query("toc_page_score", f"WITH {SCORE_SQL} SELECT pdf_id, page_num, strong, struct, header_hits, struct_hits, CAST(row_hits AS INT) AS row_hits, round(score, 6) AS score FROM scored")
+@query("toc_page_score", f"WITH {SCORE_SQL} SELECT pdf_id, page_num, strong, struct, header_hits, struct_hits, CAST(row_hits AS INT) AS row_hits, round(emb, 6) AS emb, round(score, 6) AS score FROM scored")
 def toc_page_score(spark, d):
     return _scored(spark, d)
 
@@ -155,7 +158,7 @@ def toc_expand(spark, d):
 RAW = "SELECT pdf_id, seq, CASE part % 5 WHEN 0 THEN CAST(part % 40 AS STRING) || '-' || CAST(supp % 40 AS STRING) || '/' WHEN 1 THEN CAST(part % 40 AS STRING) WHEN 2 THEN CAST(part % 9 AS STRING) || ' to ' || CAST(part % 40 AS STRING) WHEN 3 THEN 'none' ELSE CAST(part % 40 AS STRING) || '–' || CAST(supp % 50 AS STRING) END AS raw FROM (" + ENTRIES + ")"
 
 
-@query("page_range_parse", f"SELECT pdf_id, seq, {_pages_sql("replace(regexp_replace(raw, '/+$', ''), '–', '-')")} FROM ({plain(RAW)})".replace("raw FROM (SELECT l", "raw FROM (SELECT l"))
+@query("page_range_parse", f"SELECT pdf_id, seq, {_pages_sql("replace(regexp_replace(raw, '/+$', ''), '–', '-')")} FROM ({plain(RAW)})")
 def page_range_parse(spark, d):
     r = base(spark, d, RAW).select("pdf_id", "seq", T.page_range(F.col("raw"), 1).alias("r"))
     return r.select("pdf_id", "seq", F.col("r.pageFrom").alias("page_from"), F.col("r.pageTo").alias("page_to"))
@@ -205,8 +208,10 @@ def range_coverage(spark, d):
 
 
 SEGMENTS = "SELECT DISTINCT source AS pdf_id, CAST(doc_id % 7 AS INT) AS item, CAST(doc_id % 7 * 100 + 1 AS INT) AS pageFrom, CAST(doc_id % 7 * 100 + 160 AS INT) AS pageTo FROM {documents}"
-PREVIEW_SQL = f"""
-segs AS ({plain(SEGMENTS)}), pages AS ({plain(PAGES)}),
+def _previews_sql(role: str) -> str:
+    """CTEs segs, met and previews for a role (pdf_id, item, pageFrom, pageTo)."""
+    return f"""
+segs AS ({plain(role)}), pages AS ({plain(PAGES)}),
 cutp AS (SELECT pdf_id, page_num, substr(trim(text, ' ' || chr(10)), 1, 500) AS snip FROM pages WHERE trim(text, ' ' || chr(10)) <> ''),
 met AS (
   SELECT segs.pdf_id, item, page_num, snip, coalesce(sum(length(snip)) OVER (PARTITION BY segs.pdf_id, item ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -214,6 +219,9 @@ met AS (
 previews AS (SELECT pdf_id, item, string_agg('[p' || page_num || '] ' || snip, chr(10) ORDER BY page_num) AS preview FROM met WHERE before < 1200 GROUP BY pdf_id, item)"""
 
 
+PREVIEW_SQL = _previews_sql(SEGMENTS)
+
+
 @query("segment_preview", f"WITH {PREVIEW_SQL} SELECT pdf_id, item, length(preview) AS chars, md5(preview) AS digest FROM previews")
 def segment_preview(spark, d):
     p = ranges.segment_preview(base(spark, d, SEGMENTS), base(spark, d, PAGES))
@@ -233,7 +241,6 @@ def merge_adjacent(spark, d):
     return m.select("pdf_id", "ord", "title", F.col("pageFrom").alias("page_from"), F.col("pageTo").alias("page_to"))
 
 
-NAMES = "SELECT DISTINCT p_name AS name FROM {part} WHERE p_partkey < 40 UNION SELECT 'Other'"
 CATALOG = "SELECT p_name AS name, CAST(p_partkey AS INT) AS ord FROM {part} UNION ALL SELECT r_name, CAST(100000000 + r_regionkey AS INT) FROM {region}"
 
 
@@ -242,10 +249,20 @@ def catalog_distinct(spark, d):
     return classify.catalog_names(base(spark, d, CATALOG))
 
 
-TITLES = "SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN 'Written Statement of party' WHEN 1 THEN 'Reply & Affidavit' WHEN 2 THEN 'Notice of appeal' WHEN 3 THEN 'e-Court Fee/Stamp Paper' WHEN 4 THEN 'Certificate of index' WHEN 5 THEN 'some other ring' ELSE 'small widget' END AS title, coalesce(substr(text, 1, 300), '') AS preview FROM {documents}"
+TITLES = "SELECT source AS pdf_id, CAST(doc_id AS INT) AS item, CASE doc_id % 7 WHEN 0 THEN 'Written Statement of party' WHEN 1 THEN 'Reply & Affidavit' WHEN 2 THEN 'Notice of appeal' WHEN 3 THEN 'e-Court Fee/Stamp Paper' WHEN 4 THEN 'Certificate of index' WHEN 5 THEN 'some other hot ring' ELSE 'small widget of nation_7' END AS title, CAST(doc_id + 1 AS INT) AS pageFrom, CAST(doc_id + 1 + doc_id % 50 AS INT) AS pageTo FROM {documents}"
 LISTED = ["Process Fee", "Vakalat Nama", "Reply", "Written Statement", "Affidavit", "Notices", "Index", "e-Court Fee/Stamp Paper", "Other"]
 
 
+TITLED_SQL = _previews_sql(TITLES) + ", titled AS (SELECT item AS id, title, coalesce(preview, '') AS preview FROM segs LEFT JOIN previews USING (pdf_id, item))"
+
+
+def _titled(spark, d) -> DataFrame:
+    """(id, title, preview): a titled segment per document, with the preview of its pages."""
+    items = base(spark, d, TITLES)
+    met = items.join(ranges.segment_preview(items, base(spark, d, PAGES)), ["pdf_id", "item"], "left")
+    return met.select(F.col("item").alias("id"), "title", F.coalesce("preview", F.lit("")).alias("preview"))
+
+
 def _alias_sql() -> str:
     both = "lower(title || chr(10) || preview)"
     cases = " ".join(
@@ -253,33 +270,33 @@ def _alias_sql() -> str:
     return f"CASE {cases} END"
 
 
-@query("alias_classify", f"SELECT id, {_alias_sql()} AS alias FROM ({plain(TITLES)})")
+@query("alias_classify", f"WITH {TITLED_SQL} SELECT id, {_alias_sql()} AS alias FROM titled")
 def alias_classify(spark, d):
-    return base(spark, d, TITLES).select("id", classify.alias(F.col("title"), F.col("preview"), LISTED).alias("alias"))
+    return _titled(spark, d).select("id", classify.alias(F.concat_ws("\n", "title", "preview"), LISTED).alias("alias"))
 
 
 def _norm_sql(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(replace(lower(trim({x}, ' ' || chr(10))), '&', ' and '), '[/,()-]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-NAMED = "SELECT CAST(ord AS INT) AS ord, name FROM VALUES (1, 'ring'), (2, 'Other'), (3, 'Reply and Affidavit'), (4, 'Notice'), (5, 'widget'), (6, 'Stamp Paper') AS v(ord, name)"
-NAMED_SQL = NAMED.replace("FROM VALUES", "FROM (VALUES").replace(" AS v(", ") AS v(")
+NAMED = "SELECT name, CAST(min(ord) AS INT) AS ord FROM (SELECT n_name AS name, n_nationkey AS ord FROM {nation} UNION ALL SELECT 'Other', 99 UNION ALL SELECT p_name, 100 + p_partkey FROM {part}) AS c GROUP BY name"
 
 
-@query("catalog_contains", f"SELECT id, arg_min(name, ord) AS contained FROM ({plain(TITLES)}) JOIN ({NAMED_SQL}) ON contains({_norm_sql('title')}, {_norm_sql('name')}) GROUP BY id")
+@query("catalog_contains", f"WITH {TITLED_SQL} SELECT id, arg_min(name, ord) AS contained FROM titled JOIN ({plain(NAMED)}) ON contains({_norm_sql('title || chr(10) || preview')}, {_norm_sql('name')}) GROUP BY id")
 def catalog_contains(spark, d):
-    return classify.contained_name(base(spark, d, TITLES), spark.sql(NAMED), ["id"], F.col("title"))
+    held = classify.with_catalog(_titled(spark, d), base(spark, d, NAMED)).select("id", classify.contained(F.concat_ws("\n", "title", "preview")).alias("contained"))
+    return held.where("contained IS NOT NULL")
 
 
-SCORES_SQL = f"""
-segs AS (SELECT *, {tokens_sql("title || chr(10) || preview")} AS st FROM ({plain(TITLES)})),
-names AS (SELECT *, {tokens_sql("name")} AS qt FROM ({NAMED_SQL})),
-sv AS ({vectors_sql("(SELECT id, title || chr(10) || preview AS x FROM segs)", "id", "x")}),
+SCORES_SQL = f"""{TITLED_SQL},
+asked AS (SELECT *, {tokens_sql("title || chr(10) || preview")} AS st FROM titled),
+names AS (SELECT *, {tokens_sql("name")} AS qt FROM ({plain(NAMED)})),
+sv AS ({vectors_sql("(SELECT id, title || chr(10) || preview AS x FROM asked)", "id", "x")}),
 nv AS ({vectors_sql("names", "name", "name")}),
 sem AS (SELECT id, name, sum(sv.value * nv.value) AS sem FROM sv JOIN nv USING (idx) GROUP BY id, name),
 lexed AS (
   SELECT id, title, preview, name, lower(name) IN ('other', 'others') AS generic, len(list_filter(qt, lambda t: list_contains(st, t))) AS hits, len(list_distinct(qt)) AS nq,
-    contains(lower(title || chr(10) || preview), lower(name)) AS phrase FROM segs CROSS JOIN names),
+    contains(lower(title || chr(10) || preview), lower(name)) AS phrase FROM asked CROSS JOIN names),
 scores AS (
   SELECT id, name, generic, coalesce(sem, 0) * 2.8 + (hits + hits / nq + CASE WHEN phrase THEN 2.5 ELSE 0 END) * 1.8
     + CASE WHEN contains({_norm_sql("title")}, {_norm_sql("name")}) THEN 4 ELSE 0 END + CASE WHEN contains({_norm_sql("preview")}, {_norm_sql("name")}) THEN 1.5 ELSE 0 END
@@ -288,29 +305,21 @@ scores AS (
 best AS (SELECT id, name, score FROM scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY generic, round(score, 9) DESC, name DESC) = 1)"""
 
 
-def _name_sem(items: DataFrame, names: DataFrame) -> DataFrame:
-    seg = items.select("id", F.concat_ws("\n", "title", "preview").alias("x"))
-    a = embed.embed_sparse(seg, "id", "x")
-    b = embed.embed_sparse(names.select("name", F.col("name").alias("x")), "name", "x").withColumnRenamed("value", "w")
-    return a.join(b, "idx").groupBy("id", "name").agg(F.sum(F.col("value") * F.col("w")).alias("sem"))
-
-
 @query("catalog_score", f"WITH {SCORES_SQL} SELECT id, name, round(score, 6) AS score FROM scores")
 def catalog_score(spark, d):
-    items, names = base(spark, d, TITLES), spark.sql(NAMED)
-    return classify.name_scores(items, names, ["id"], _name_sem(items, names)).select("id", "name", F.round("score", 6).alias("score"))
+    """Every segment against the whole catalog."""
+    return classify.name_scores(_titled(spark, d), base(spark, d, NAMED), ["id"]).select("id", "name", F.round("score", 6).alias("score"))
 
 
 @query("classify_items", f"""WITH {SCORES_SQL},
-held AS (SELECT id, arg_min(name, ord) AS contained FROM segs JOIN names ON contains({_norm_sql("title || chr(10) || preview")}, {_norm_sql("name")}) GROUP BY id)
-SELECT id, coalesce({_alias_sql()}, contained, best.name, 'Other') AS document_type FROM segs LEFT JOIN held USING (id) LEFT JOIN best USING (id)""")
+held AS (SELECT id, arg_min(name, ord) AS contained FROM asked JOIN names ON contains({_norm_sql("title || chr(10) || preview")}, {_norm_sql("name")}) GROUP BY id)
+SELECT id, coalesce({_alias_sql()}, contained, best.name, 'Other') AS document_type FROM asked LEFT JOIN held USING (id) LEFT JOIN best USING (id)""")
 def classify_items(spark, d):
-    items, names = base(spark, d, TITLES), spark.sql(NAMED)
-    return classify.classify(items, names, ["id"], LISTED, _name_sem(items, names)).select("id", F.col("documentType").alias("document_type"))
+    return classify.classify(_titled(spark, d), base(spark, d, NAMED), ["id"], LISTED).select("id", F.col("documentType").alias("document_type"))
 
 
 PARENTS = "SELECT CAST(n_nationkey AS INT) AS ord, n_name AS name FROM {nation}"
-CHILDREN = "SELECT CAST(p_partkey AS INT) AS ord, 'NATION_' || CAST(p_partkey % 25 AS STRING) AS parent, 'Sub ' || CAST(p_partkey % 90 AS STRING) AS name FROM {part} WHERE p_partkey < 120"
+CHILDREN = "SELECT CAST(p_partkey AS INT) AS ord, 'NATION_' || CAST(p_partkey % 25 AS STRING) AS parent, 'Sub ' || CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey % 90 END AS STRING) AS name FROM {part}"
 LOOKUPS = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'nation-' || CAST(o_custkey % 40 AS STRING) WHEN 1 THEN 'Nation_' || CAST(o_custkey % 25 AS STRING) || ' sub ' || CAST(o_custkey % 90 AS STRING) WHEN 2 THEN 'SUB ' || CAST(o_custkey % 130 AS STRING) ELSE '--' END AS title, CASE WHEN o_orderkey % 5 = 0 THEN 'given' ELSE '' END AS subDocument FROM {orders}"
 
 
@@ -333,15 +342,68 @@ def label_normalize(spark, d):
     return read(spark, d, "pages").select("page_id", T.normalize_label(F.col("url")).alias("label"), T.label_key(F.col("url")).alias("label_key"))
 
 
-@query("index_pipeline", f"""
+#: Pages of the synthetic documents: each speaks of one part.
+SPOKEN = f"""
+SELECT pdf_id, CAST((part + supp) % 25 + 1 AS INT) AS page_num, 'Here the ' || min(p_name) || ' is set out, with ' || CAST(count(*) AS STRING) || ' more' AS text
+FROM ({ENTRIES}) AS e JOIN {{part}} ON part = p_partkey WHERE pdf_id % 10 <> 0 GROUP BY pdf_id, CAST((part + supp) % 25 + 1 AS INT)"""
+SAID = "title || chr(10) || preview"
+INDEX_SQL = f"""
 WITH {HYBRID_SQL},
-clamped AS (SELECT pdf_id, parser, pos, title, annexure, 25 AS total, greatest(1, least(page_from, 25)) AS pf, page_to FROM hybrid),
+clamped AS (SELECT pdf_id, parser, pos, title, 25 AS total, greatest(1, least(page_from, 25)) AS pf, page_to FROM hybrid),
 usable AS (SELECT * FROM clamped WHERE pdf_id IN (SELECT pdf_id FROM clamped GROUP BY pdf_id HAVING count(*) >= 2)),
 firsts AS (SELECT *, greatest(pf, least(page_to, total)) AS pt FROM usable QUALIFY row_number() OVER (PARTITION BY pdf_id, lower(title), pf ORDER BY parser, pos) = 1),
-led AS (SELECT *, lead(pf) OVER (PARTITION BY pdf_id ORDER BY pf, title, parser, pos) AS nxt FROM firsts)
-SELECT pdf_id, title, pf AS page_from, CASE WHEN nxt > pf THEN least(greatest(pf, nxt - 1), total) ELSE pt END AS page_to, 'index_ready' AS status FROM led""")
+led AS (SELECT *, lead(pf) OVER w AS nxt, row_number() OVER w AS ord FROM firsts WINDOW w AS (PARTITION BY pdf_id ORDER BY pf, title, parser, pos)),
+built AS (SELECT pdf_id, ord, title, pf, nxt, CASE WHEN nxt > pf THEN least(greatest(pf, nxt - 1), total) ELSE pt END AS pt, {{'d': pdf_id, 'o': ord}} AS k FROM led),
+spoken AS (SELECT *, {{'d': pdf_id, 'p': page_num}} AS k, {tokens_sql("text")} AS tt FROM ({plain(SPOKEN)})),
+entry_v AS ({vectors_sql("built", "k", "title")}), spoken_v AS ({vectors_sql("spoken", "k", "text")}),
+sem_e AS (
+  SELECT a.k.d AS pdf_id, a.k.o AS ord, b.k.p AS page_num, sum(a.value * b.value) AS sem FROM entry_v AS a JOIN spoken_v AS b ON a.idx = b.idx AND a.k.d = b.k.d GROUP BY ALL),
+paired AS (
+  SELECT built.pdf_id, ord, pf, page_num, len(list_filter({tokens_sql("title")}, lambda t: list_contains(tt, t))) AS hits, len(list_distinct({tokens_sql("title")})) AS nq,
+    contains(lower(text), lower(title)) AS phrase FROM built JOIN spoken ON built.pdf_id = spoken.pdf_id),
+hit AS (
+  SELECT *, row_number() OVER (PARTITION BY pdf_id, ord ORDER BY score DESC, page_num DESC) AS rank FROM (
+    SELECT paired.*, round(2 * coalesce(sem, 0) + 1.5 * CASE WHEN nq = 0 THEN 0 ELSE hits + hits / nq + CASE WHEN phrase THEN 2.5 ELSE 0 END END, 9) AS score
+    FROM paired LEFT JOIN sem_e USING (pdf_id, ord, page_num)) QUALIFY rank <= 8 AND score > 0.35),
+near AS (SELECT pdf_id, ord, arg_min(page_num, abs(page_num - pf) * 100 + rank) AS found FROM hit GROUP BY pdf_id, ord),
+started AS (
+  SELECT built.*, found, CASE WHEN abs(found - pf) <= 2 THEN found ELSE pf END AS vf, pdf_id IN (SELECT pdf_id FROM spoken) AS known FROM built LEFT JOIN near USING (pdf_id, ord)),
+checked AS (
+  SELECT pdf_id, ord AS item, title, pf, pt, known, vf, CASE WHEN vf < nxt THEN greatest(vf, nxt - 1) ELSE greatest(vf, pt) END AS vt,
+    CASE WHEN NOT known THEN 'none' WHEN found IS NULL THEN 'toc_only' WHEN abs(found - pf) <= 2 THEN 'verified' ELSE 'weak_match' END AS verification FROM started),
+met AS (
+  SELECT checked.pdf_id, item, page_num, substr(text, 1, 500) AS snip, coalesce(sum(length(substr(text, 1, 500))) OVER (PARTITION BY checked.pdf_id, item ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM checked JOIN spoken ON checked.pdf_id = spoken.pdf_id AND page_num BETWEEN vf AND vt),
+previews AS (SELECT pdf_id, item, string_agg('[p' || page_num || '] ' || snip, chr(10) ORDER BY page_num) AS preview FROM met WHERE before < 1200 GROUP BY pdf_id, item),
+seen AS (SELECT checked.*, coalesce(preview, '') AS preview, {{'d': pdf_id, 'o': item}} AS id FROM checked LEFT JOIN previews USING (pdf_id, item)),
+names AS (SELECT * FROM ({plain(NAMED)})),
+held AS (SELECT id, arg_min(name, ord) AS contained FROM seen JOIN names ON contains({_norm_sql(SAID)}, {_norm_sql('name')}) GROUP BY id),
+rest AS (SELECT *, {tokens_sql(SAID)} AS st FROM seen WHERE id NOT IN (SELECT id FROM held)),
+rest_v AS ({vectors_sql(f"(SELECT id, {SAID} AS x FROM rest)", "id", "x")}), name_v AS ({vectors_sql("names", "name", "name")}),
+sem_n AS (SELECT id, name, sum(rest_v.value * name_v.value) AS sem FROM rest_v JOIN name_v USING (idx) GROUP BY id, name),
+best AS (
+  SELECT id, name FROM (
+    SELECT id, name, lower(name) IN ('other', 'others') AS generic, coalesce(sem, 0) * 2.8 + 1.8 * (hits + hits / nq) - CASE WHEN lower(name) IN ('other', 'others') THEN 3 ELSE 0 END AS score
+    FROM (SELECT id, name, len(list_filter({tokens_sql("name")}, lambda t: list_contains(st, t))) AS hits, len(list_distinct({tokens_sql("name")})) AS nq FROM rest CROSS JOIN names) LEFT JOIN sem_n USING (id, name))
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY generic, round(score, 9) DESC, name DESC) = 1),
+typed AS (SELECT seen.*, coalesce(contained, best.name, 'Other') AS kind FROM seen LEFT JOIN held ON seen.id = held.id LEFT JOIN best ON seen.id = best.id),
+flagged AS (
+  SELECT *, CASE WHEN pf = coalesce(lag(pt) OVER w, 0) + 1 AND title = lag(title) OVER w AND kind = lag(kind) OVER w THEN 0 ELSE 1 END AS s FROM typed WINDOW w AS (PARTITION BY pdf_id ORDER BY item)),
+isle AS (SELECT *, sum(s) OVER (PARTITION BY pdf_id ORDER BY item) AS g FROM flagged)
+SELECT pdf_id, CAST(min(item) AS BIGINT) AS place, arg_min(title, item) AS title, min(pf) AS page_from, arg_max(pt, item) AS page_to,
+  CASE WHEN any_value(known) THEN CAST(arg_min(vf, item) AS INT) ELSE -1 END AS found_from, CASE WHEN any_value(known) THEN CAST(arg_max(vt, item) AS INT) ELSE -1 END AS found_to,
+  arg_min(verification, item) AS verification, arg_min(kind, item) AS document_type, 'index_ready' AS status FROM isle GROUP BY pdf_id, g
+UNION ALL SELECT pdf_id, -1, '', -1, -1, -1, -1, 'none', '', 'no_toc' FROM toc WHERE pdf_id NOT IN (SELECT pdf_id FROM usable)"""
+
+
+@query("index_pipeline", INDEX_SQL)
 def index_pipeline(spark, d):
+    """Parsing, ranges, verification, classification and merging, for all documents; every tenth has no stored pages."""
     from quire.plans import index
 
-    out = index.build_index(_toc(spark, d).withColumn("total_pages", F.lit(25)))
-    return out.where("status = 'index_ready'").select("pdf_id", "title", F.col("pageFrom").alias("page_from"), F.col("pageTo").alias("page_to"), "status")
+    out = index.build_index(_toc(spark, d).withColumn("total_pages", F.lit(25)), base(spark, d, SPOKEN), base(spark, d, NAMED), [])
+    number = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    return out.select(
+        "pdf_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("place"), F.coalesce("title", F.lit("")).alias("title"), number("pageFrom").alias("page_from"), number("pageTo").alias("page_to"),
+        number("verifiedPageFrom").alias("found_from"), number("verifiedPageTo").alias("found_to"), F.coalesce("verificationStatus", F.lit("none")).alias("verification"),
+        F.coalesce("documentType", F.lit("")).alias("document_type"), "status")
