@@ -1,23 +1,26 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-One dictionary holds words of toxic documents that ordinary ones lack, the other the most common
-words of ordinary documents. A text is cut into windows of a word or more; each window is
-compressed with either dictionary, and the bytes that the toxic one saves over the ordinary one are compared
-with thresholds, calibrated by window length on ordinary documents. A logistic model turns
-counts of windows over the thresholds into a score.
+zstandard's trainer makes one dictionary from ordinary texts and one from toxic texts. A text is cut into overlapping windows
+of 64 bytes; each is compressed with the ordinary dictionary and with both together, and the bytes that the toxic one saves are
+compared with thresholds, calibrated on ordinary documents. A logistic model turns counts of windows over the
+thresholds into a score.
 
-Every window starts with the same marker, which both dictionaries end with, so that even a
-short word is worth a back reference; without it zstandard would store such windows raw. zstandard's
-own dictionary trainer picks frequent stretches, which are the same in both kinds of text, so the
-dictionaries are trained here, by the surprise of a word's document frequency, as raw content.
+Left to itself, the trainer fills a dictionary with the most frequent stretches, and those are the same in both kinds of
+text. So the toxic one is trained on the words of toxic texts that occur in more of them than chance explains; which
+of these go into the dictionary, and how they are cut, is the trainer's choice. Every window starts with a mark that all
+dictionaries end with: without a first match zstandard stores short windows raw, and no length would differ.
+
+A window can only gain by a match of MATCH bytes that the toxic dictionary has and the ordinary one lacks. Windows
+without such a stretch gain nothing, and are not compressed.
 
 Training: at most MAX_TOXIC and MAX_ORDINARY labelled documents of at most MAX_BYTES, those with the smallest
 hash of their id. Thresholds and the logistic model are fitted on folds that their
 dictionaries did not see. Scoring covers every document and the whole text.
 
 Defined cases: a null or empty text has no windows and gets the score of no evidence; labels of null or
-of unknown documents are left out; without documents of both kinds every score is 0; repeated rows
-score alike; other columns are kept.
+of unknown documents are left out; without documents of both kinds every score is 0; where the trainer has too little
+text, the samples themselves are the dictionary; repeated rows score alike; other columns are kept, and one named
+score is replaced.
 """
 
 from __future__ import annotations
@@ -37,14 +40,17 @@ from quire.llm.common import LOWER, UPPER
 
 #: Bounds of the training sample: documents of each kind, and bytes of one document.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 1500, 6000, 16384
-TOXIC_BYTES, ORDINARY_BYTES = 8192, 32768
-WINDOW = 1
+#: Bytes of the dictionaries, and of the segments that the trainer picks for them.
+TOXIC_BYTES, ORDINARY_BYTES = 512, 16384
+TOXIC_SEGMENT, ORDINARY_SEGMENT = 12, 32
+#: Bytes of a window, of its overlap with the next one, and of the shortest match.
+WINDOW, OVERLAP, MATCH = 64, 12, 4
 FOLDS = 3
+#: What the surprise of a word has to exceed, and the least number of its documents.
+SURPRISE, SEEN = 3.0, 3
 #: Shares of ordinary windows below the thresholds.
 LEVELS = (0.99, 0.998, 0.9995)
-LONGEST = 48
-MARK = b"~the~window~of~text~starts~here~"
-CACHE = 300_000
+MARK = b"~this~mark~opens~each~window~of~text~"
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PUNCTUATION = str.maketrans(dict.fromkeys(".,;:!?\"()[]{}", " "))
@@ -54,33 +60,25 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").translate(_PUNCTUATION).encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-def windows_of(text: str | None, size: int = WINDOW) -> list[bytes]:
-    words = words_of(text)
-    return words if size == 1 else [b" ".join(words[k : k + size]) for k in range(0, len(words), size)]
+def joined(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" " if words else b""
 
 
-def packed(words: list[bytes], room: int) -> bytes:
-    """Words from the best, placed last, until the room is used."""
-    out = []
-    for w in words:
-        room -= len(w) + 1
-        if room < 0:
-            break
-        out.append(w)
-    return b" " + b" ".join(reversed(out)) + b" " + MARK
+def starts(length: int) -> range:
+    """Where the windows of a joined text begin; the last one may be shorter."""
+    return range(0, max(1, length - OVERLAP), WINDOW - OVERLAP) if length else range(0)
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of both dictionaries.
+def surprising(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    """Words whose documents are toxic more often than chance explains.
 
-    A word is toxic if the share of its documents that are toxic exceeds the share of toxic documents by
-    more than chance: n * KL(share, base) less the logarithm of how many words are as frequent.
+    That is n * KL(share, base) less the logarithm of how many words are as frequent, for n documents.
     """
     in_toxic, in_ordinary = Counter(), Counter()
-    for t in toxic:
-        in_toxic.update(set(words_of(t)))
-    for t in ordinary:
-        in_ordinary.update(set(words_of(t)))
+    for words in toxic:
+        in_toxic.update(set(words))
+    for words in ordinary:
+        in_ordinary.update(set(words))
     total = in_toxic + in_ordinary
     alike = Counter(total.values())
     base = len(toxic) / (len(toxic) + len(ordinary))
@@ -92,71 +90,97 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
         kl = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)
         return n * kl - math.log(alike[n])
 
-    ranked = {
-        w: s
-        for w, n in in_toxic.items()
-        if n >= 3 and len(w) > 2 and n / len(toxic) > 4 * (in_ordinary[w] + 0.5) / len(ordinary) and (s := surprise(w)) > 3
-    }
-    usual = [w for w, n in in_ordinary.items() if n >= 2 and w not in ranked and surprise(w) <= 0]
+    return {w for w, n in in_toxic.items() if n >= SEEN and surprise(w) > SURPRISE}
+
+
+def trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """The dictionary that zstandard's trainer makes of the samples, as content."""
+    samples = [s for s in samples if len(s) >= 8]
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6, steps=1, threads=0, level=6).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(samples)[-size:]
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Contents of both dictionaries."""
+    t, o = [words_of(x) for x in toxic], [words_of(x) for x in ordinary]
+    kept = surprising(t, o)
+    usual = [x[k : k + WINDOW] for x in map(joined, o) for k in range(0, len(x), WINDOW)]
     return (
-        packed(sorted(ranked, key=lambda w: (-ranked[w], w)), TOXIC_BYTES),
-        packed(sorted(usual, key=lambda w: (-in_ordinary[w], w)), ORDINARY_BYTES),
+        trained(TOXIC_BYTES, [joined([w for w in words if w in kept]) for words in t], TOXIC_SEGMENT),
+        trained(ORDINARY_BYTES, usual, ORDINARY_SEGMENT),
     )
 
 
+def stretches(data: bytes) -> np.ndarray:
+    """Every MATCH bytes of data as a number, by place."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint32)
+    n = len(x) - MATCH + 1
+    return sum(x[k : k + n] << np.uint32(8 * k) for k in range(MATCH)) if n > 0 else np.zeros(0, np.uint32)
+
+
 class Distance:
-    """Bytes that the toxic dictionary saves on a window; remembers what it has seen."""
+    """Bytes that the toxic dictionary saves on the windows of a text."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.compress = []
-        for content in (ordinary, toxic):
+        for content in (ordinary + MARK, toxic + ordinary + MARK):
             params = zstandard.ZstdCompressionParameters(
-                window_log=16, hash_log=13, chain_log=14, search_log=5, min_match=3, target_length=32,
+                window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=MATCH, target_length=32,
                 strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
             )
-            trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            trained.precompute_compress(compression_params=params)
-            self.compress.append(zstandard.ZstdCompressor(compression_params=params, dict_data=trained).compress)
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, windows: list[bytes]) -> np.ndarray:
-        seen, (usual, toxic) = self.seen, self.compress
-        if len(seen) > CACHE:
-            seen.clear()
-        out = np.empty(len(windows), np.int64)
-        for k, w in enumerate(windows):
-            d = seen.get(w)
-            if d is None:
-                marked = MARK + b" " + w + b" "
-                d = seen[w] = len(usual(marked)) - len(toxic(marked))
-            out[k] = d
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=params)
+            self.compress.append(zstandard.ZstdCompressor(compression_params=params, dict_data=held).compress)
+        own = np.setdiff1d(stretches(toxic), stretches(ordinary))
+        self.own = np.zeros(1 << 16, bool)
+        self.own[self.slot(own)] = True
+        self.exact = own
+
+    @staticmethod
+    def slot(values: np.ndarray) -> np.ndarray:
+        return (values * np.uint32(2654435761)) >> np.uint32(16)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """The savings, window by window."""
+        begin = starts(len(text))
+        out = np.zeros(len(begin), np.int64)
+        if not len(begin) or not len(self.exact):
+            return out
+        seen = stretches(text)
+        places = np.flatnonzero(self.own[self.slot(seen)])
+        places = places[np.isin(seen[places], self.exact)]
+        usual, both = self.compress
+        step = WINDOW - OVERLAP
+        last = places // step
+        inside = places - (last - 1) * step + MATCH <= WINDOW  # also whole in the window before
+        for k in np.unique(np.concatenate([last, last[inside] - 1])).tolist():
+            if 0 <= k < len(out):
+                window = MARK + text[begin[k] : begin[k] + WINDOW]
+                out[k] = len(usual(window)) - len(both(window))
         return out
 
 
-def lengths(windows: list[bytes]) -> np.ndarray:
-    return np.minimum(np.fromiter(map(len, windows), np.int64, len(windows)), LONGEST)
-
-
 class Model(NamedTuple):
     toxic: bytes
     ordinary: bytes
-    thresholds: np.ndarray  # by level and window length
+    thresholds: np.ndarray  # by level
     weights: np.ndarray
 
-    def evidence(self, saved: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def evidence(self, saved: np.ndarray) -> np.ndarray:
         if not len(saved):
-            return np.zeros(2 * len(LEVELS) + 2)
-        over = saved[None, :] > self.thresholds[:, size]
-        hits = over.sum(1)
-        excess = np.maximum(saved - self.thresholds[1, size], 0).sum()
-        return np.concatenate([np.log1p(hits), 20 * hits / len(saved), [np.log1p(len(saved)), min(excess, 30) / 10]])
+            return np.zeros(2 * len(LEVELS) + 3)
+        hits = (saved[None, :] > self.thresholds[:, None]).sum(1)
+        excess = np.maximum(saved - self.thresholds[0], 0).sum()
+        return np.concatenate([np.log1p(hits), 5 * hits / len(saved), [np.log1p(len(saved)), min(excess, 30) / 10, min(saved.max(), 12) / 4]])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         z = np.c_[np.ones(len(evidence)), evidence] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 10.0, rounds: int = 60) -> np.ndarray:
     x = np.c_[np.ones(len(x)), x]
     b = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -169,26 +193,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60)
     return b
 
 
-def fit(toxic: list[str], ordinary: list[str], window: int = WINDOW) -> Model:
+def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries from all texts; thresholds and weights from folds that their dictionaries did not see."""
     parts = []
     for k in range(FOLDS):
-        seen = Distance(*train_dictionaries(
+        saved = Distance(*train_dictionaries(
             [t for i, t in enumerate(toxic) if i % FOLDS != k], [t for i, t in enumerate(ordinary) if i % FOLDS != k]
         ))
         for label, texts in ((1, toxic), (0, ordinary)):
-            for t in texts[k::FOLDS]:
-                w = windows_of(t, window)
-                parts.append((label, seen(w), lengths(w)))
-    clean = [p for p in parts if not p[0]]
-    saved, size = np.concatenate([p[1] for p in clean]), np.concatenate([p[2] for p in clean])
-    thresholds = np.full((len(LEVELS), LONGEST + 1), 6.0)
-    for n in range(LONGEST + 1):
-        near = saved[abs(size - n) <= 1]
-        if len(near) > 50:
-            thresholds[:, n] = np.maximum(np.quantile(near, LEVELS), 0)
+            parts += [(label, saved(joined(words_of(t)))) for t in texts[k::FOLDS]]
+    clean = np.concatenate([p[1] for p in parts if not p[0]])
+    thresholds = np.maximum(np.quantile(clean, LEVELS), 0) if len(clean) else np.full(len(LEVELS), 3.0)
     model = Model(*train_dictionaries(toxic, ordinary), thresholds, np.zeros(0))
-    x = np.array([model.evidence(s, n) for _, s, n in parts])
+    x = np.array([model.evidence(saved) for _, saved in parts])
     return model._replace(weights=logistic(x, np.array([float(p[0]) for p in parts])))
 
 
@@ -212,12 +229,12 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[
     return [t for _, k, t in rows if k], [t for _, k, t in rows if not k]
 
 
-def train(docs: DataFrame, labels: DataFrame, window: int = WINDOW) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     toxic, ordinary = training_texts(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    return fit(toxic, ordinary, window) if len(toxic) >= FOLDS and len(ordinary) >= FOLDS else None
+    return fit(toxic, ordinary) if len(toxic) >= FOLDS and len(ordinary) >= FOLDS else None
 
 
-def with_score(df: DataFrame, model: Model | None, text: str = "text", window: int = WINDOW) -> DataFrame:
+def with_score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Add score, the probability that a text is toxic."""
     if model is None:
         return df.withColumn("score", F.lit(0.0))
@@ -225,10 +242,7 @@ def with_score(df: DataFrame, model: Model | None, text: str = "text", window: i
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         saved = Distance(model.toxic, model.ordinary)
         for texts in batches:
-            rows = []
-            for t in texts:
-                w = windows_of(t, window)
-                rows.append(model.evidence(saved(w), lengths(w)))
+            rows = [model.evidence(saved(joined(words_of(t)))) for t in texts]
             yield pd.Series(model.score(np.array(rows)) if rows else np.zeros(0))
 
     return df.withColumn("score", F.pandas_udf(scores, "double")(F.col(f"`{text}`")))
