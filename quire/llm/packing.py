@@ -8,8 +8,9 @@ and the classes stay small whatever the number of documents, and the packing is
 
 Best fit places lengths in falling order, each into the fullest bin that takes it. Then local search works on
 the underfull bins: moves of one piece, exchanges one for one and two for one, each of which
-must raise the sum of squared fills; bins that run empty are dropped. It ends when no exchange helps or when
-the bins are as few as the total length allows.
+must raise the sum of squared fills; bins that run empty are dropped. It ends when no exchange from an emptier bin into
+one at least as full helps, or when the bins are as few as the total length allows. Partners are found in an index
+by length and room, so the search has no other bound.
 
 Pieces are numbered by (length, doc_id, piece, checksum) through ranges and a written table; a piece's
 number and the classes decide its sequence and offset, looked up by binary search. The lookup
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from typing import NamedTuple
 
@@ -39,9 +41,9 @@ END_ID = 0
 
 
 class Tokenizer:
-    """Byte-level BPE ids of a tokenizer file. A rank file of the same vocabulary makes it faster.
+    """Byte-level BPE ids of a tokenizer file. A rank file of the same vocabulary makes it five times as fast.
 
-    Both give the same ids, except for strings of special tokens, which only the first knows; texts
+    Both give the same ids (tests compare them), except for strings of special tokens, which only the first knows; texts
     that hold one go to it.
     """
 
@@ -136,71 +138,123 @@ def best_fit(lengths: dict[int, int], capacity: int) -> Counter[Bin]:
     return Counter({b: m for bins in by_room.values() for b, m in bins.items() if m})
 
 
-def improvement(a: Bin, b: Bin, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What to take out of a and of b so that the fuller gains: a move, one for one, or two for one.
+class Search:
+    """Bins under improvement, indexed by what they can give back and how much room they have.
 
-    Taking x from a and y from b moves d = x - y to b; squared fill rises if fill(b) + d > fill(a).
+    For every length y, rooms[y] is a bit set of the rooms of underfull classes that hold a piece of y (y = 0: of all),
+    and held[y, room] lists those classes. A take of t pieces' length from bin a for y out of bin b raises the
+    squared fill by d = t - y if b is at least as full as a, and fits if d is at most b's room.
     """
-    fa, fb = fill(a), fill(b)
-    room = capacity - fb
-    least = max(1, fa - fb + 1)
-    if least > room:
-        return None
-    best, gain = None, 0
-    ones = [n for n, _ in a]
-    backs = [0] + [n for n, _ in b]
-    takes = [(n,) for n in ones] + [(m, n) for i, (m, c) in enumerate(a) for n in ones[i:] if n != m or c > 1]
-    for take in takes:
-        total = sum(take)
-        for back in backs:
-            if len(take) == 2 and not back:
-                continue
-            d = total - back
-            if least <= d <= room and d > gain:
-                best, gain = (take, (back,) if back else ()), d
-                if d == room:
-                    return best
-    return best
-
-
-def local_search(bins: Counter[Bin], capacity: int, target: int, budget: int = 60_000) -> Counter[Bin]:
-    """Raise the sum of squared fills until no exchange helps or only `target` bins are left.
-
-    Emptiest bins give first. The budget bounds the pairs looked at; every state is a whole packing.
+
+    def __init__(self, bins: Counter[Bin], capacity: int):
+        self.bins = Counter(bins)
+        self.capacity = capacity
+        self.total = sum(bins.values())
+        self.rooms: dict[int, int] = defaultdict(int)
+        self.held: dict[tuple[int, int], dict[Bin, None]] = defaultdict(dict)
+        for b in sorted(self.bins):
+            self.listed(b)
+
+    def listed(self, b: Bin) -> None:
+        room = self.capacity - fill(b)
+        if room:
+            for y in (0, *(n for n, _ in b)):
+                self.held[y, room][b] = None
+                self.rooms[y] |= 1 << room
+
+    def unlisted(self, b: Bin) -> None:
+        room = self.capacity - fill(b)
+        if room:
+            for y in (0, *(n for n, _ in b)):
+                held = self.held[y, room]
+                del held[b]
+                if not held:
+                    del self.held[y, room]
+                    self.rooms[y] &= ~(1 << room)
+
+    def add(self, b: Bin, times: int) -> None:
+        if b and times:
+            if not self.bins[b]:
+                self.listed(b)
+            self.bins[b] += times
+
+    def remove(self, b: Bin, times: int) -> None:
+        self.bins[b] -= times
+        if not self.bins[b]:
+            del self.bins[b]
+            self.unlisted(b)
+
+    def best(self, a: Bin) -> tuple[tuple[int, ...], int, int] | None:
+        """What to take out of a, what it gets back (0: nothing), and the room of a bin to deal with: the largest gain."""
+        takes = {n: (n,) for n, _ in a}
+        for i, (m, c) in enumerate(a):
+            for n, _ in a[i if c > 1 else i + 1 :]:
+                takes.setdefault(m + n, (m, n))
+        most = max(takes)
+        room = self.capacity - fill(a)
+        limit = (1 << (room + 1)) - 1  # bins at least as full as a
+        reach, backs, top = [], [], -1
+        for y in sorted(y for y in self.rooms if y < most):
+            got = y + (self.rooms[y] & limit).bit_length() - 1
+            if got > max(top, y):  # what a smaller piece reaches is better had for that one
+                top = got
+                reach.append(got)
+                backs.append(y)
+        found, gain = None, 0
+        for t, take in takes.items():
+            k = bisect_left(reach, t)
+            if k < len(reach) and t - backs[k] > gain and not (len(take) > 1 and not backs[k]):
+                found, gain = (take, backs[k], t - backs[k]), t - backs[k]
+        return found
+
+    def improve(self, a: Bin) -> tuple[Bin, int] | None:
+        """Carry out the largest gain that a can give; what became of a, and of how many of its bins."""
+        alone = self.bins[a] == 1
+        if alone:
+            self.unlisted(a)  # a bin does not deal with itself
+        found = self.best(a)
+        if alone:
+            self.listed(a)
+        if found is None:
+            return None
+        take, y, d = found
+        fits = self.rooms[y] >> d
+        room = d + (fits & -fits).bit_length() - 1  # of the fullest bin that takes it
+        b = next(x for x in self.held[y, room] if not (alone and x == a))
+        back = (y,) if y else ()
+        times = self.bins[a] // 2 if a == b else min(self.bins[a], self.bins[b])
+        new_a, new_b = changed(a, take, back), changed(b, back, take)
+        self.remove(a, times)
+        self.remove(b, times)
+        self.add(new_b, times)
+        self.add(new_a, times)
+        self.total -= 0 if new_a else times
+        return new_a, times
+
+    def run(self, target: int) -> None:
+        """Passes over the bins from the emptiest until a whole pass finds nothing or only target bins are left."""
+        moved = True
+        while moved and self.total > target:
+            moved = False
+            for a in sorted((b for b in self.bins if fill(b) < self.capacity), key=lambda b: (fill(b), b)):
+                while a and self.bins[a] and self.total > target:
+                    step = self.improve(a)
+                    if step is None:
+                        break
+                    moved = True
+                    if not self.bins[a]:
+                        a = step[0]
+
+
+def local_search(bins: Counter[Bin], capacity: int, target: int) -> Counter[Bin]:
+    """Raise the sum of squared fills until no exchange from an emptier bin into a fuller one helps, or target bins are left.
+
+    Each step takes one or two pieces out of a bin and gives none or one back, where the other bin is at least as
+    full. Every state is a whole packing, and the sum of squares rises with each step, so it ends.
     """
-    bins = Counter(bins)
-    total = sum(bins.values())
-    stuck: set[tuple[Bin, Bin]] = set()
-    while total > target and budget > 0:
-        under = sorted((b for b in bins if fill(b) < capacity), key=lambda b: (fill(b), b))
-        done = False
-        for a in under:
-            for b in reversed(under):
-                if (a == b and bins[a] < 2) or (a, b) in stuck or fill(b) < fill(a):
-                    continue
-                budget -= 1
-                found = improvement(a, b, capacity)
-                if found is None:
-                    stuck.add((a, b))
-                    continue
-                take, back = found
-                times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-                new_a, new_b = changed(a, take, back), changed(b, back, take)
-                bins[a] -= times
-                bins[b] -= times
-                bins[new_b] += times
-                if new_a:
-                    bins[new_a] += times
-                else:
-                    total -= times
-                bins += Counter()
-                done = True
-                break
-            if done or budget <= 0:
-                break
-        if not done:
-            break
-    return bins
+    search = Search(bins, capacity)
+    search.run(target)
+    return +search.bins
 
 
 class Places(NamedTuple):
