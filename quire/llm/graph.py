@@ -1,4 +1,8 @@
-"""Connected components by star contraction, for edge tables of any size."""
+"""Connected components by star contraction, for edge tables of any size.
+
+Defined cases: an edge of a node with itself makes no component; repeated edges count once; an empty table has no
+components; of several nodes the least names its component, so ties cannot occur; null ends of an edge are not allowed.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,8 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least node around it."""
     both = _both(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join reads the edges of a hub from an exchange of its own, which Spark can split
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
