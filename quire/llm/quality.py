@@ -13,8 +13,8 @@ Base checks of the contract (fewer than 50 words, or over half of the words in r
 
 Defined cases: a null or empty text has all figures 0 and fails the base checks; a text without
 repeated windows has 0 repeated words; repeated rows are judged alike; an empty table stays empty and
-the model keeps its starting values; other columns pass through, and columns with
-names of figures are replaced.
+the model keeps its starting values; other columns pass through whatever their names, and columns with
+names of results are replaced; texts with equal votes (ties) are judged alike.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP = 0.5
-#: A rule votes bad on at most one of so many good documents.
-FALSE_ALARMS = 100
+#: What a rule is thought to be right on good documents before any is seen, and how many documents that weighs.
+START, WEIGHT = 0.99, 10
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "top_words", "n_letters", "n_stops")
 BASE = FIGURES[:5]
 
@@ -145,25 +145,26 @@ def unpack(patterns: np.ndarray, rules: int) -> np.ndarray:
     return p // 3 ** np.arange(rules - 1, -1, -1) % 3 - 1
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 200) -> Model:
-    """EM over pattern counts, with two bounds that say which class is which.
+def fit(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 500) -> Model:
+    """EM over pattern counts. The start says which class is which: rules are mostly right on good documents.
 
-    Good documents fail no rule for more than one in FALSE_ALARMS of them, while bad ones come in
-    kinds, each of which may pass most rules: so a good vote on a bad document is common.
+    Bad documents come in kinds, each of which may pass most rules, so a good vote on a bad document is
+    common. Accuracies on both classes are estimated; a rule that is wrong on more than half of the good documents
+    would have the classes exchanged, which the bound of one half excludes.
     """
-    model = Model(0.8, np.full(rules, 1 - 1 / FALSE_ALARMS), np.full(rules, 0.4), rules)
+    model = Model(0.8, np.full(rules, START), np.full(rules, 0.4), rules)
     if not len(patterns):
         return model
     votes, n = unpack(patterns, rules), np.asarray(counts, float)
     for _ in range(rounds):
         p = model.posterior(patterns) * n
         q = n - p
-        good = (p @ (votes > 0) + 100) / (p @ (votes != 0) + 101)
-        bad = (q @ (votes < 0) + 4) / (q @ (votes != 0) + 10)
+        good = (p @ (votes > 0) + START * WEIGHT) / (p @ (votes != 0) + WEIGHT)
+        bad = (q @ (votes < 0) + 0.4 * WEIGHT) / (q @ (votes != 0) + WEIGHT)
         new = Model(
             float(np.clip(p.sum() / n.sum(), 0.05, 0.95)),
-            np.clip(good, 1 - 1 / FALSE_ALARMS, 0.9999),
-            np.clip(bad, 0.1, 0.999),
+            np.clip(good, 0.5, 0.9999),
+            np.clip(bad, 0.05, 0.999),
             rules,
         )
         still = abs(new.prior - model.prior) + abs(new.right_good - model.right_good).max() + abs(new.right_bad - model.right_bad).max()
@@ -183,16 +184,17 @@ def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[Model,
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add FIGURES, posterior, base_failed and kept to df (without its text, if keep_text is false)."""
-    figured = with_pattern(with_figures(df, text), rules)
-    voted = materialize(figured if keep_text else figured.drop(text))
+    results = (*FIGURES, "posterior", "base_failed", "kept")
+    keep = [c for c in df.columns if c.lower() not in results and (keep_text or c != text)]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep])  # so no name of ours meets one of df
+    voted = materialize(with_pattern(with_figures(df.select(row.alias("row"), F.col(f"`{text}`").alias("text"))), rules).drop("text"))
     _, table = fit_rules(voted, rules)
     known = df.sparkSession.createDataFrame([(int(a), float(b)) for a, b in table.itertuples(index=False)], "pattern int, posterior double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (
-        voted.join(F.broadcast(known), "pattern", "left")
-        .drop("pattern")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("posterior") >= KEEP))
+    judged = voted.join(F.broadcast(known), "pattern", "left")  # a row per pattern
+    return judged.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in keep], *FIGURES, "posterior", failed.alias("base_failed"),
+        (~failed & (F.col("posterior") >= KEEP)).alias("kept"),
     )
 
 
