@@ -1,41 +1,28 @@
-"""Shared helpers: shared-folder tables, global row numbers, text columns."""
+"""Shared helpers: written tables, global row numbers, text columns, names that meet no other."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.work import freeze as materialize  # writes a table to the shared folder and reads it back
+
+__all__ = ["fresh", "global_index", "lower_ascii", "materialize", "table", "word_count"]
+
 # The six white-space characters of the word definition.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-@cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="quire-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts the lineage and freezes values that depend on partitioning, so that later
-    reads agree with each other after the loss of executors. The files lie under the
-    application's id and can go when the application has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(taken: Iterable[str], name: str) -> str:
+    """name, with as many underscores behind it as make it differ from all names taken, in any case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def global_index(df: DataFrame, order: list[Column], name: str = "row_number") -> tuple[DataFrame, int]:
@@ -45,21 +32,22 @@ def global_index(df: DataFrame, order: list[Column], name: str = "row_number") -
     Only one count per partition comes to the driver. Returns the numbered rows and their number.
     """
     spark = df.sparkSession
+    place, part_, start = (fresh(df.columns, x) for x in ("_place", "_part", "_start"))
     placed = materialize(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
     )
-    part = F.shiftright("_place", 33).cast("int")
+    part = F.shiftright(place, 33).cast("int")
     counts = sorted(placed.groupBy(part.alias("part")).count().collect())
     starts, total = [], 0
     for k, n in counts:
         starts.append((k, total))
         total += n
-    offsets = spark.createDataFrame(starts, "_part int, _start long")
+    offsets = spark.createDataFrame(starts, f"{part_} int, {start} long")  # a row per partition
     numbered = (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_start", "_place")
+        placed.withColumn(part_, part)
+        .join(F.broadcast(offsets), part_)
+        .withColumn(name, F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop(part_, start, place)
     )
     return numbered, total
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, UPPER
+from quire.llm.common import LOWER, UPPER, fresh
 
 # The base phrases and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -230,8 +230,9 @@ def _scan(templates, phrases):
 def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, phrases=BASE_PHRASES) -> DataFrame:
     """Add n_words, base (places of phrases) and hits (stretches of templates) to df."""
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "base", "hits")]
-    scanned = df.withColumn("_scan", _scan(templates, phrases)(F.col(f"`{text}`")))
-    return scanned.select(*keep, "_scan.n_words", "_scan.base", "_scan.hits")
+    own = fresh(df.columns, "_scan")
+    scanned = df.withColumn(own, _scan(templates, phrases)(F.col(f"`{text}`")))
+    return scanned.select(*keep, f"{own}.n_words", f"{own}.base", f"{own}.hits")
 
 
 def joined_labels(*labels: Column) -> Column:

@@ -17,7 +17,8 @@ What has the form but fails validation stays as it is. Nothing is looked up or j
 there is neither a shuffle nor a table of originals.
 
 Defined cases: null stays null; an empty text stays empty; values repeated in a text are each
-replaced; a value in the middle of a longer digit run is none; other columns are kept.
+replaced; a value in the middle of a longer digit run is none; other columns are kept, whatever their names.
+IPv4 octets and unpadded days and months keep their range, not their number of digits.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import feistel
-from quire.llm.common import LOWER, UPPER
+from quire.llm.common import LOWER, UPPER, fresh
 
 #: The default key of the pseudonyms; give your own to keep them from being undone.
 KEY = "quire"
@@ -147,15 +148,15 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = KEY, kinds: str |
     """Replace the text column; with kinds, add an array column of that name with the kind of each value."""
     t = F.col(f"`{text}`")
     found = F.when(t.rlike("[0-9@]|[A-Fa-f]{16}"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
-    listed = df.withColumn("_new", F.transform(found, lambda m: pseudonym(m, key)))
-    changed = F.exists("_new", lambda x: x.kind.isNotNull())
+    own = fresh(df.columns, "_new")
+    listed = df.withColumn(own, F.transform(found, lambda m: pseudonym(m, key)))
+    changed = F.exists(own, lambda x: x.kind.isNotNull())
     gaps = F.split(t, PATTERN, -1)
     joined = F.array_join(
-        F.zip_with(gaps, F.col("_new"), lambda g, x: F.concat(g, F.coalesce(x.new, F.lit("")))), ""
+        F.zip_with(gaps, F.col(own), lambda g, x: F.concat(g, F.coalesce(x.new, F.lit("")))), ""
     )
-    out = listed.withColumn("_text", F.when(changed, joined).otherwise(t))
-    columns = [F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c != kinds]
+    columns = [F.when(changed, joined).otherwise(t).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c != kinds]
     if kinds:
-        named = F.filter(F.transform("_new", lambda x: x.kind), lambda k: k.isNotNull())
+        named = F.filter(F.transform(own, lambda x: x.kind), lambda k: k.isNotNull())
         columns.append(F.coalesce(named, F.array().cast("array<string>")).alias(kinds))
-    return out.select(*columns)
+    return listed.select(*columns)

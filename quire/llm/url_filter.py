@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import lower_ascii
+from quire.llm.common import LOWER, UPPER, fresh, lower_ascii
+
+_LOWER = str.maketrans(UPPER, LOWER)
 
 #: The largest pickled trie that is broadcast; longer lists are joined instead.
 MAX_TRIE_BYTES = 64 << 20
@@ -37,50 +39,51 @@ def split_path(path: str) -> tuple[list[str], str]:
     return closed, rest
 
 
-class Trie:
-    """Nested dicts: host labels from the right, then under "/" the path's closed segments.
+def trie(rules: Iterable[tuple[str, str, str]]) -> dict:
+    """Nested plain dicts: host labels from the right, then under "/" the path's closed segments.
 
-    A node keeps the rules that end there by the open rest of their path.
+    A node keeps the rules that end there by the open rest of their path. Plain dicts reach executors that do not
+    have this package.
     """
-
-    def __init__(self, rules: Iterable[tuple[str, str, str]]):
-        self.root: dict = {}
-        for verdict, host, path in rules:
-            node = self.root
-            for label in reversed(host.split(".")) if host else ():
-                node = node.setdefault(label, {})
-            closed, rest = split_path(path)
-            node = node.setdefault("/", {})
-            for segment in closed:
-                node = node.setdefault(("s", segment), {})
-            ends = node.setdefault("", {})
-            if ends.get(rest, ("", ""))[1] != "block":
-                ends[rest] = (host + path, verdict)
-
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The rule text and verdict of the longest match, or None."""
-        node, found = self.root, self._in_path(self.root, path)
+    root: dict = {}
+    for verdict, host, path in rules:
+        node = root
         for label in reversed(host.split(".")) if host else ():
-            node = node.get(label)
-            if node is None:
-                break
-            found = self._in_path(node, path) or found
-        return found
-
-    @staticmethod
-    def _in_path(node: dict, path: str) -> tuple[str, str] | None:
-        node, found = node.get("/"), None
-        segments = path.split("/")
-        for k in range(len(segments)):
-            if node is None:
-                break
-            if ends := node.get(""):
-                left = "/".join(segments[k:])
-                fits = [rest for rest in ends if left.startswith(rest)]
-                if fits:
-                    found = ends[max(fits, key=len)]
-            node = node.get(("s", segments[k]))
-        return found
+            node = node.setdefault(label, {})
+        closed, rest = split_path(path)
+        node = node.setdefault("/", {})
+        for segment in closed:
+            node = node.setdefault(("s", segment), {})
+        ends = node.setdefault("", {})
+        if ends.get(rest, ("", ""))[1] != "block":
+            ends[rest] = (host + path, verdict)
+    return root
+
+
+def find(root: dict, host: str, path: str) -> tuple[str, str] | None:
+    """The rule text and verdict of the longest match in a trie, or None."""
+    node, found = root, in_path(root, path)
+    for label in reversed(host.split(".")) if host else ():
+        node = node.get(label)
+        if node is None:
+            break
+        found = in_path(node, path) or found
+    return found
+
+
+def in_path(node: dict, path: str) -> tuple[str, str] | None:
+    node, found = node.get("/"), None
+    segments = path.split("/")
+    for k in range(len(segments)):
+        if node is None:
+            break
+        if ends := node.get(""):
+            left = "/".join(segments[k:])
+            fits = [rest for rest in ends if left.startswith(rest)]
+            if fits:
+                found = ends[max(fits, key=len)]
+        node = node.get(("s", segments[k]))
+    return found
 
 
 def judge_urls(
@@ -88,27 +91,28 @@ def judge_urls(
     max_trie_bytes: int = MAX_TRIE_BYTES,
 ) -> DataFrame:
     """Add host, path, rule and verdict to df; columns of these names are replaced."""
-    rules = [(v, h.lower(), p) for v, h, p in rules]
-    host, path = url_parts(F.col(url))
+    rules = [(v, h.translate(_LOWER), p) for v, h, p in rules]
+    host, path = url_parts(F.col(f"`{url}`"))
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     parts = df.select(*keep, host.alias("host"), path.alias("path"))
-    trie = Trie(rules)
-    if len(pickle.dumps(trie)) > max_trie_bytes:
+    root = trie(rules)
+    if len(pickle.dumps(root)) > max_trie_bytes:
         return judge_by_join(parts, rules, default)
-    sent = df.sparkSession.sparkContext.broadcast(trie)
+    sent = df.sparkSession.sparkContext.broadcast(root)
 
     @F.pandas_udf("rule string, verdict string")
     def match(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        find, seen = sent.value.find, {}
+        root, seen = sent.value, {}
         out = []
         for key in zip(hosts, paths, strict=True):
             if key not in seen:
-                seen[key] = find(*key) or (None, default)
+                seen[key] = find(root, *key) or (None, default)
             out.append(seen[key])
         return pd.DataFrame(out, columns=["rule", "verdict"])
 
-    hit = parts.withColumn("_hit", match("host", "path"))
-    return hit.select(*parts.columns, F.col("_hit.rule").alias("rule"), F.col("_hit.verdict").alias("verdict"))
+    own = fresh(parts.columns, "_hit")
+    hit = parts.withColumn(own, match("host", "path"))
+    return hit.select(*[F.col(f"`{c}`") for c in parts.columns], F.col(f"{own}.rule").alias("rule"), F.col(f"{own}.verdict").alias("verdict"))
 
 
 def judge_by_join(parts: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
@@ -142,9 +146,10 @@ def judge_by_join(parts: DataFrame, rules: list[tuple[str, str, str]], default:
         (F.col("verdict") == "block").alias("c"),
     )
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("_hit"))
-    joined = parts.join(best, ["host", "path"], "left")
+    own = fresh(parts.columns, "_hit")
+    joined = parts.join(best.withColumnRenamed("_hit", own), ["host", "path"], "left")
     return joined.select(
-        *[parts[c] for c in parts.columns],
-        F.col("_hit.rule").alias("rule"),
-        F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"),
+        *[F.col(f"`{c}`") for c in parts.columns],
+        F.col(f"{own}.rule").alias("rule"),
+        F.coalesce(f"{own}.verdict", F.lit(default)).alias("verdict"),
     )

@@ -1,6 +1,8 @@
 """Operators against brute force, exact round trips, held-out accuracy and SQL."""
 
 import collections
+import functools
+import hashlib
 import random
 import re
 import zlib
@@ -13,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import common, feistel, graph, license_scan, ogg, packing, pii, quality, queries, simhash, toxicity, url_filter
+from quire.llm import common, feistel, graph, license_scan, mixing, ogg, packing, pii, quality, queries, simhash, toxicity, url_filter
 from tests.helpers import DATA, duck, same_rows
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,7 +67,9 @@ def test_op1(spark, texts):
     for r in queries.op1_ogg(spark, DATA).collect():
         raw = texts[r.doc_id].encode()
         full = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        media = ogg.write_payload(full)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(full), zlib.crc32(full[-32:]))
+        assert (r.payload_sha256, r.media_sha256, r.media_bytes) == (hashlib.sha256(full).hexdigest(), hashlib.sha256(media).hexdigest(), len(media))
 
 
 # ---- toxicity
@@ -188,6 +192,62 @@ def test_op6(spark, texts):
     assert used <= 1.01 * -(-sum(r.length for r in rows) // 2048)
 
 
+def test_both_tokenizers_agree(spark):
+    t = packing.Tokenizer(*packing.public_tokenizer())
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
+        assert t.fast.encode_ordinary(r.text) == t.slow.encode(r.text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=200))
+def test_both_tokenizers_agree_on_any_text(text):
+    t = _tokenizer()
+    text = text.encode("utf-8", "ignore").decode()
+    assert t.ids(text) == t.slow.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def _tokenizer():
+    return packing.Tokenizer(*packing.public_tokenizer())
+
+
+@pytest.mark.parametrize("many, seed, low, high", [(1000, 1, 600, 1400), (20_000, 1, 600, 1400), (3000, 1, 100, 900)])
+def test_search_goes_below_best_fit(many, seed, low, high):
+    rng = random.Random(seed)
+    lengths = collections.Counter(rng.randint(low, high) for _ in range(many))
+    start, end = packing.best_fit(lengths, 2048), packing.pack_lengths(lengths)
+    held = collections.Counter()
+    for b, times in end.items():
+        assert packing.fill(b) <= 2048
+        for n, c in b:
+            held[n] += c * times
+    assert held == lengths
+    assert -(-sum(n * c for n, c in lengths.items()) // 2048) <= sum(end.values()) < sum(start.values())
+
+
+def improvable(bins, capacity):
+    """Whether some exchange of one or two pieces for none or one, from an emptier bin into one at least as full, fits."""
+    loose = [b for b, m in bins.items() for _ in range(min(m, 2)) if packing.fill(b) < capacity]
+    for i, a in enumerate(loose):
+        ones = [n for n, c in a for _ in range(min(c, 2))]
+        takes = {(n,) for n in ones} | {(ones[x], ones[y]) for x in range(len(ones)) for y in range(x)}
+        for j, b in enumerate(loose):
+            if i != j and packing.fill(b) >= packing.fill(a):
+                for take in takes:
+                    for back in [0] * (len(take) == 1) + [n for n, _ in b]:
+                        if 0 < sum(take) - back <= capacity - packing.fill(b):
+                            return True
+    return False
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 100), st.integers(1, 6), max_size=10))
+def test_search_ends_where_no_exchange_helps(lengths):
+    end = packing.pack_lengths(lengths, 100)
+    least = -(-sum(n * c for n, c in lengths.items()) // 100)
+    assert sum(end.values()) == least or not improvable(end, 100)
+
+
 def test_special_strings_go_to_the_slow_tokenizer():
     t = packing.Tokenizer(*packing.public_tokenizer())
     text = "a <|endoftext|> b"
@@ -336,6 +396,28 @@ def test_em_recovers_accuracies():
 
 # ---- pipeline
 
+def similar_components(texts):
+    """The least id of each component of "five-word sets at least 0.8 similar"."""
+    sets = {}
+    for k, t in texts.items():
+        words = BLANK.findall(ascii_lower(t))
+        sets[k] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(k) for k in ids}
+
+
 def test_pipeline(spark, texts):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     sizes = []
@@ -346,10 +428,26 @@ def test_pipeline(spark, texts):
             assert len(ids) == len(set(ids)) and set(ids) <= set(texts)
         if name != "packing":
             assert out.columns == docs.columns
+        rows = docs.collect()
+        if name == "quality":
+            judged = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+            assert set(ids) == judged
         if name == "near_dedup":
-            fps = {r.doc_id: fingerprint_by_bits(r.text) for r in docs.collect()}
-            want = brute_components(fps, 3)
-            assert set(ids) == set(want.values())
+            assert set(ids) == similar_components({r.doc_id: r.text for r in rows})
+        if name == "pii":
+            masked = {r.doc_id: r.text for r in pii.pseudonymize(docs, key=corpus_pipeline.pseudonym_key(spark)).collect()}
+            assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {r.doc_id: (masked[r.doc_id], r.n_chars + len(masked[r.doc_id]) - len(r.text)) for r in rows}
+        if name == "mixing":
+            copies = collections.Counter(r.doc_id for r in out.collect())
+            plan = {r.doc_id: r.copies for r in mixing.mix_plan(docs).collect()}
+            assert copies == collections.Counter({k: n for k, n in plan.items() if n})
+        if name == "packing":
+            at = {}
+            for r in sorted(out.collect(), key=lambda r: (r.sequence_id, r.offset)):
+                assert r.offset == at.get(r.sequence_id, 0)
+                at[r.sequence_id] = r.offset + r.length
+            pieces = sum(-(-(len(_tokenizer().ids(r.text)) + 1) // 2048) for r in rows)
+            assert max(at.values()) <= 2048 and out.count() == pieces
         sizes.append((name, out.count()))
         docs = out
     assert corpus_pipeline.run(spark, DATA).count() == sizes[-1][1]

@@ -126,6 +126,67 @@ def test_license_scan(docs, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+CLASHES = ("_new", "_text", "_hit", "_scan", "_before", "pattern", "posterior", "row", "_row", "_place", "_part", "_start", "media_", "kept", "_SCAN", "fp", "keys", "group", "cell", "u", "v", "node", "root", "copies", "_rate")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents whose other columns have names that operators use inside."""
+    names = [n for n in CLASHES if n != "_SCAN"]
+    rows = [(k, WORDS + f" number {k} of 5105105105105100", "s", 9, *["own"] * len(names)) for k in range(4)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_clashing_columns(spark, clashing, name, stage):
+    out = stage(spark, clashing, "")
+    assert out.columns == clashing.columns and out.count() > 0
+    assert all(r[n] == "own" for r in out.collect() for n in clashing.columns[4:])
+
+
+def test_operators_keep_clashing_columns(spark, clashing):
+    rest = [c for c in clashing.columns if c not in ("kept", "posterior", "doc_id", "text", "source", "n_chars")]
+    judged = quality.judge(clashing)
+    scanned = license_scan.scan_licenses(clashing)
+    masked = pii.pseudonymize(clashing, kinds="found")
+    urls = url_filter.judge_urls(clashing.withColumn("url", F.lit("http://x.com/")), [("block", "com", "/")])
+    joined = url_filter.judge_urls(clashing.withColumn("url", F.lit("http://x.com/")), [("block", "com", "/")], max_trie_bytes=0)
+    scored = toxicity.with_score(clashing, None)
+    for out in (judged, scanned, masked, urls, joined, scored):
+        rows = out.collect()
+        assert len(rows) == 4 and all(r[n] == "own" for r in rows for n in rest)
+    assert {type(r.posterior) for r in judged.collect()} == {float} and masked.first().found == ["card"]
+    assert {r.rule for r in urls.collect()} == {r.rule for r in joined.collect()} == {"com/"}
+
+
+def test_url_rules_lower_only_ascii(spark):
+    df = spark.createDataFrame([(1, "http://Ä.COM/"), (2, "http://ä.com/")], "page_id long, url string")
+    for size in (1 << 20, 0):
+        rows = url_filter.judge_urls(df, [("block", "Ä.Com", "/")], max_trie_bytes=size).orderBy("page_id").collect()
+        assert [(r.host, r.verdict) for r in rows] == [("Ä.com", "block"), ("ä.com", "allow")]
+
+
+def test_trie_is_plain_data():
+    import json
+    import pickletools
+
+    import pickle
+
+    root = url_filter.trie([("block", "a.com", "/x/y"), ("allow", "", "/")])
+    assert not [a for op, a, _ in pickletools.genops(pickle.dumps(root)) if op.name in ("GLOBAL", "STACK_GLOBAL")], json
+    assert url_filter.find(root, "b.a.com", "/x/yz") == ("a.com/x/y", "block")
+
+
+def test_ties(spark):
+    """Equal votes are judged alike; equal seeds and equal lengths are dealt the same way every time."""
+    df = spark.createDataFrame([(k, WORDS, "a" if k % 2 else "b") for k in range(12)], "doc_id long, text string, source string")
+    assert len({r.posterior for r in quality.judge(df).collect()}) == 1
+    once, again = (sorted(map(tuple, mixing.mix_plan(df.repartition(n)).select("doc_id", "taken").collect())) for n in (1, 5))
+    assert once == again
+    pieces = [sorted(map(tuple, packing.pack_documents(df.repartition(n), capacity=512).select("doc_id", "sequence_id", "offset").collect())) for n in (1, 5)]
+    assert pieces[0] == pieces[1]
+
+
 def test_url_filter(spark):
     kind = "page_id long, url string, host string, verdict string"
     df = spark.createDataFrame([(1, None, "h", "v"), (2, "no scheme", "h", "v"), (3, "http://", "h", "v"), (4, "http://COM/", "h", "v"), (4, "http://COM/", "h", "v"), (5, "http://" + "a." * 5000 + "com/x", "h", "v")], kind)
