@@ -101,7 +101,7 @@ def default_pending(pending: Column, total: Column, indexed: Column) -> Column:
 
 
 def as_flag(c: Column) -> Column:
-    return F.coalesce(c.cast("boolean"), F.lit(False))
+    return F.coalesce(c.try_cast("boolean"), F.lit(False))
 
 
 def search(records: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -127,7 +127,7 @@ def _pending(v: Vocabulary) -> Column:
 
 
 def _oldest_first(queue: DataFrame) -> DataFrame:
-    return queue.orderBy("updated_at", "pdf_id")
+    return queue.orderBy(*[c for c in ("updated_at", "pdf_id") if c in queue.columns])
 
 
 def pending_sql(records: DataFrame, v: Vocabulary = OWN) -> DataFrame:
