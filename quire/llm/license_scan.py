@@ -29,7 +29,8 @@ from quire.llm.common import LOWER, UPPER, fresh
 # The base phrases and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Published license wording, with optional and replaceable regions marked.
+# Published license wording to its end, with optional and replaceable regions marked. The long license
+# texts themselves (Apache, GPL) have no template; their notices, lines and names are found.
 TEMPLATES = (
     ("mit-text", 1.0, """
 <<beginOptional>>The <<endOptional>><<beginOptional>>MIT License<<beginOptional>> (MIT)<<endOptional>><<endOptional>>
@@ -49,22 +50,39 @@ OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
 Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
 without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND <<var;words=1..6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
-ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;words=1..6>> BE LIABLE FOR ANY SPECIAL,
+DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""),
     ("bsd-text", 1.0, """
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
 following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above
 copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in
 binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-documentation and/or other materials provided with the distribution."""),
+documentation and/or other materials provided with the distribution. <<beginOptional>><<beginOptional>>3. <<endOptional>>Neither
+the name of <<var;words=1..15>> nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission. <<endOptional>>THIS SOFTWARE IS PROVIDED BY <<var;words=1..12>> "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;words=1..12>> BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("apache-notice", 1.0, """
 Licensed under the Apache License, Version 2.0 (the "License"); you may not use this <<var;words=1..3>> except in compliance
 with the License. You may obtain a copy of the License at <<var;words=3..10>> Unless required by applicable law or agreed
 to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
-OF ANY KIND, either express or implied."""),
+OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License."""),
     ("gpl-notice", 1.0, """
 <<var;words=1..4>> is free software: you can redistribute it and/or modify it under the terms of the GNU
 <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License as published by
-the Free Software Foundation, either version <<var;words=1..2>> of the License, or (at your option) any later version."""),
+the Free Software Foundation, either version <<var;words=1..2>> of the License, or (at your option) any later version.
+<<var;words=1..4>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero
+<<endOptional>>General Public License for more details. You should have received a copy of the GNU <<beginOptional>>Lesser
+<<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License along with <<var;words=1..4>> If not, see
+<<var;words=1..1>> www gnu org licenses."""),
     ("mit-line", 0.9, """<<beginOptional>>This <<var;words=1..3>> is <<endOptional>>released under
 the <<beginOptional>>terms of the <<endOptional>>MIT License<<beginOptional>>.<<endOptional>>"""),
     ("apache-2.0-line", 0.9, """Licensed under the <<beginOptional>>terms of the <<endOptional>>Apache

@@ -5,8 +5,8 @@ share at least 8 - d positional bytes: the guaranteed minimum. Posting lists of
 bytes would hold 1/256 of all fingerprints each, so the index posts a fingerprint under combinations of
 positional bytes: with positions split into two halves of four, five shared positions always put three
 into one half, so the 8 triples within halves suffice for d = 3 (24-bit keys). For the pairs
-that meet in a list, shared positional bytes are tallied, pairs below the minimum dropped, and
-the rest verified bit by bit.
+that meet in a list, shared positional bytes are tallied from the pair itself, pairs below the minimum dropped, and
+the rest verified bit by bit. The tally saves bit counts; the verification alone decides what is linked.
 
 Equal fingerprints are merged before the index. A posting list of any length is dealt into cells
 of two blocks each, so that every pair of it meets in exactly one cell of bounded size; a cell
