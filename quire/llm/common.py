@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.sources.work import freeze as materialize  # writes a table to the shared folder and reads it back
 
-__all__ = ["fresh", "global_index", "lower_ascii", "materialize", "table", "word_count"]
+__all__ = ["bucket", "fresh", "global_index", "labelled_texts", "lower_ascii", "materialize", "table", "word_count"]
 
 # The six white-space characters of the word definition.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -64,3 +64,26 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bucket(doc_id: Column, buckets: int = 5) -> Column:
+    """crc32 of the id as text, modulo; bucket 0 is held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, most_ones: int, most_zeros: int, most_bytes: int) -> tuple[list[str], list[str]]:
+    """A bounded sample of texts labelled 1 and 0 (doc_id, label), none held out: the smallest hashes of ids, and texts of at most so many bytes.
+
+    The ids are chosen first; a broadcast of them picks their texts from the scan.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & (bucket(F.col("doc_id")) != 0))
+    by_hash = [F.xxhash64("doc_id").asc(), F.col("doc_id").asc()]
+    picked = None
+    for kind, most in ((1, most_ones), (0, most_zeros)):
+        ids = known.where(F.col("label") == kind).select("doc_id", F.lit(kind).alias("_kind")).orderBy(*by_hash).limit(most)
+        picked = ids if picked is None else picked.unionAll(ids)
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([tuple(r) for r in picked.distinct().collect()], "_id long, _kind int")
+    found = docs.where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = sorted((r["_id"], r["_kind"], r["text"]) for r in found.select("_id", "_kind", "text").distinct().collect())
+    return [t for _, k, t in rows if k], [t for _, k, t in rows if not k]

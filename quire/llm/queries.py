@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import license_scan, mixing, ogg, packing, pii, quality, sharding, simhash, toxicity, url_filter
-from quire.llm.common import table
+from quire.llm import align, byte_net, dialogue, license_scan, mixing, ogg, packing, pii, quality, sharding, simhash, toxicity, url_filter
+from quire.llm.common import bucket, table
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -45,7 +45,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_score(docs, model).select(
         "doc_id",
-        (toxicity.bucket(F.col("doc_id")) == 0).alias("held_out"),
+        (bucket(F.col("doc_id")) == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
@@ -90,6 +90,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, keep_text=False).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
+def op11_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = byte_net.train(docs, table(spark, sf_dir, "labels"))
+    return byte_net.with_score(docs, net).select(
+        "doc_id", (bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.repair(rows, F.col("gone"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), align.public_files())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,6 +140,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op11_quality_net": op11_quality_net,
+    "op12_repair": op12_repair,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 _ORACLE = {"op3_mixing": mixing.ORACLE, "op5_sharding": sharding.ORACLE, "op9_url_filter": OP9_SQL}

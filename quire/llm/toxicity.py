@@ -33,10 +33,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, UPPER
+from quire.llm.common import LOWER, UPPER, labelled_texts
 
 #: Bounds of the training sample: documents of each kind, and bytes of one document.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 1500, 6000, 16384
@@ -209,24 +209,9 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     return model._replace(weights=logistic(x, np.array([float(p[0]) for p in parts])))
 
 
-def bucket(doc_id: Column, buckets: int = 5) -> Column:
-    """crc32 of the id as text, modulo; bucket 0 is held out."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets
-
-
 def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
-    """The bounded sample: ids first, then their texts, which a broadcast of the ids picks from the scan."""
-    known = labels.where(F.col("doc_id").isNotNull() & (bucket(F.col("doc_id")) != 0))
-    by_hash = [F.xxhash64("doc_id").asc(), F.col("doc_id").asc()]
-    picked = None
-    for kind, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
-        ids = known.where(F.col("toxic") == kind).select("doc_id", F.lit(kind).alias("_kind")).orderBy(*by_hash).limit(most)
-        picked = ids if picked is None else picked.unionAll(ids)
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([tuple(r) for r in picked.distinct().collect()], "_id long, _kind int")
-    found = docs.where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = sorted((r["_id"], r["_kind"], r["text"]) for r in found.select("_id", "_kind", "text").distinct().collect())
-    return [t for _, k, t in rows if k], [t for _, k, t in rows if not k]
+    """The bounded sample, toxic and ordinary."""
+    return labelled_texts(docs, labels.select("doc_id", F.col("toxic").alias("label")), MAX_TOXIC, MAX_ORDINARY, MAX_BYTES)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
