@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize
-from quire.llm.packing import Tokenizer
+from quire.llm.packing import ranked
 
 #: Bytes of text that are aligned at once (a longer text is alone), and distinct parts tokenized in one call.
-SLICE_BYTES, CALL_PARTS = 1 << 22, 512
+SLICE_BYTES, CALL_PARTS = 1 << 20, 512
 #: Pairs whose counts every executor holds (16 bytes each), and pairs that a task gathers before it passes them on.
-MOST_PAIRS, GATHERED = 1 << 20, 1 << 21
+MOST_PAIRS, GATHERED = 1 << 20, 1 << 20
 #: How pieces write a blank.
 MARK = "▁"
 #: A blank next to another one, at an end of the text, or next to a mark.
@@ -87,6 +87,11 @@ def piece_tokens(model) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
 
 
+def link_kind(pairs: int) -> str:
+    """How links are stored: in four bytes, if so many pairs can be told apart by them."""
+    return "<u4" if pairs <= 1 << 32 else "<i8"
+
+
 class Pair:
     """Both tokenizers, with the bytes of their ids."""
 
@@ -94,13 +99,18 @@ class Pair:
         import sentencepiece
 
         self.b = sentencepiece.SentencePieceProcessor(model_file=files.b_model)
-        slow = Tokenizer(files.a_json, files.a_ranks, files.a_pattern)
-        slow.slow.encode_special_tokens = True
-        self.a = slow.fast.encode_ordinary if slow.fast else lambda t: slow.slow.encode(t, add_special_tokens=False).ids
+        if files.a_ranks:  # special tokens are unknown to ranks, so their strings are plain text
+            self.a = ranked(files.a_ranks, files.a_pattern).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            slow = Tokenizer.from_file(files.a_json)
+            slow.encode_special_tokens = True
+            self.a = lambda t: slow.encode(t, add_special_tokens=False).ids
         self.bytes = byte_level_tokens(files.a_json), piece_tokens(self.b)
         self.lengths = tuple(np.array([len(t) for t in tokens], dtype=np.int64) for tokens in self.bytes)
         n, m = map(len, self.bytes)
-        self.b_ids = m
+        self.b_ids, self.link_kind = m, link_kind(n * m)
         # what follows an id: one of its own kind in its group, the other kind or the next group
         self.words = np.array([*(f"{i}," for i in range(max(n, m))), *(f"{i}|" for i in range(n))], dtype=object), n
         self.ends = np.array([*(f"{i}," for i in range(m)), *(f"{i};" for i in range(m))], dtype=object)
@@ -245,7 +255,7 @@ def _first(files: Files):
                 row = (
                     [ids.to_pylist()], *([x.tolist()] for x in sums), [shas],
                     [index[keep].astype("<i4").tobytes()], [kept_ends.astype("<i8").tobytes()],
-                    [done.links.astype("<i8").tobytes()], [done.link_ends.astype("<i8").tobytes()],
+                    [done.links.astype(pair.link_kind).tobytes()], [done.link_ends.astype("<i8").tobytes()],
                 )
                 kinds = (*[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays(
@@ -267,26 +277,30 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, out
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(kind: str):
     """Pairs with their counts, summed over slices before they are passed on."""
+
     def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
 
-    held: tuple[np.ndarray, np.ndarray] | None = None
-    for batch in batches:
-        for k in range(batch.num_rows):
-            index, links, ends = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((0, "<i4"), (1, "<i8"), (2, "<i8")))
-            times = np.bincount(index, minlength=len(ends))
-            new = _merged([links], [np.repeat(times, np.diff(np.concatenate([[0], ends])))])
-            held = _merged([held[0], new[0]], [held[1], new[1]]) if held else new
-            if len(held[0]) > GATHERED:
-                yield out(*held)
-                held = None
-    if held:
-        yield out(*held)
-
-
-def _second(pairs, best, b_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                index, links, ends = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((0, "<i4"), (1, kind), (2, "<i8")))
+                times = np.bincount(index, minlength=len(ends))
+                new = _merged([links.astype(np.int64)], [np.repeat(times, np.diff(np.concatenate([[0], ends])))])
+                held = _merged([held[0], new[0]], [held[1], new[1]]) if held else new
+                if len(held[0]) > GATHERED:
+                    yield out(*held)
+                    held = None
+        if held:
+            yield out(*held)
+
+    return run
+
+
+def _second(pairs, best, b_ids: int, kind: str):
     """A row per text with its figures, and the links whose counts are not among the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +308,8 @@ def _second(pairs, best, b_ids: int):
         for batch in batches:
             cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
-                index, ends, links, link_ends = (np.frombuffer(cols[c][k].as_buffer(), t) for c, t in (("parts", "<i4"), ("part_ends", "<i8"), ("links", "<i8"), ("link_ends", "<i8")))
+                index, ends, links, link_ends = (np.frombuffer(cols[c][k].as_buffer(), t) for c, t in (("parts", "<i4"), ("part_ends", "<i8"), ("links", kind), ("link_ends", "<i8")))
+                links = links.astype(np.int64)
                 at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
                 known = keys[at] == links if len(keys) else np.zeros(len(links), bool)
                 n = np.where(known, counts[at], 0) if len(keys) else np.zeros(len(links), np.int64)
@@ -319,11 +334,11 @@ def _second(pairs, best, b_ids: int):
 def align(docs: DataFrame, files: Files, text: str = "text", most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(doc_id, FIGURES, groups_sha256) of every row of docs; doc_id is a whole number."""
     spark = docs.sparkSession
-    pair = Pair(files)  # only for its number of ids
-    b_ids = pair.b_ids
+    pair = Pair(files)  # only for its numbers of ids
+    b_ids, kind = pair.b_ids, pair.link_kind
     sent = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
     first = materialize(sent.mapInArrow(_first(files), SHAPE).withColumn("slice", F.monotonically_increasing_id()))
-    counted = materialize(first.select("parts", "links", "link_ends").mapInArrow(_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    counted = materialize(first.select("parts", "links", "link_ends").mapInArrow(_counts(kind), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     best = counted.groupBy((F.col("pair") % b_ids).cast("int").alias("b")).agg(F.max("n").alias("most"))
     most = np.zeros(b_ids, np.int64)
     for r in best.collect():  # a row per id of B
@@ -341,7 +356,7 @@ def align(docs: DataFrame, files: Files, text: str = "text", most_pairs: int = M
     lookup, greatest = context.broadcast((keys[order], counts[order])), context.broadcast(most)
     shape = "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string, slice long, place long, rest array<long>"
     figured = first.select("slice", "docs", "n_a", "n_b", "n_groups", "groups_sha256", "parts", "part_ends", "links", "link_ends").mapInArrow(
-        _second(lookup, greatest, b_ids), shape)
+        _second(lookup, greatest, b_ids, kind), shape)
     if not any(n for size, n in sizes.items() if size < least):
         return figured.select("doc_id", *FIGURES, "groups_sha256")
     figured = materialize(figured)
