@@ -5,17 +5,20 @@ of 64 bytes; each is compressed with the ordinary dictionary and with both toget
 compared with thresholds, calibrated on ordinary documents. A logistic model turns counts of windows over the
 thresholds into a score.
 
-Left to itself, the trainer fills a dictionary with the most frequent stretches, and those are the same in both kinds of
-text. So the toxic one is trained on the words of toxic texts that occur in more of them than chance explains; which
-of these go into the dictionary, and how they are cut, is the trainer's choice. Every window starts with a mark that all
-dictionaries end with: without a first match zstandard stores short windows raw, and no length would differ.
+Trained on whole texts both dictionaries hold the same frequent stretches, so the toxic one's samples are chosen by compression itself. Toxic texts
+are halved; windows of one half that the other half's raw text shortens more than as much ordinary text does are the first samples. A dictionary trained on one half's
+samples then chooses those of the other half. The trainer's last dictionary is cut into pieces, and each piece is measured: in how many toxic
+and in how many ordinary documents does it, beside the ordinary dictionary, shorten a window? Pieces are kept one by one, the most telling first, for what
+those before them leave; and the documents that no piece tells go through the same again. From the second round on the ordinary documents are those
+that raw toxic text shortens most, so that no piece tells a language or a manner of writing instead. A text's windows are all compressed, by both.
 
-A window can only gain by a match of MATCH bytes that the toxic dictionary has and the ordinary one lacks. Windows
-without such a stretch gain nothing, and are not compressed.
+Dictionaries are loaded as content (the trainer's tables, which stand before it, are left out), since zstandard loads one trained dictionary at a time. Every window starts with a mark that
+both end with: without a first match zstandard stores short windows raw, and no length would differ.
 
 Training: at most MAX_TOXIC and MAX_ORDINARY labelled documents of at most MAX_BYTES, those with the smallest
 hash of their id. Thresholds and the logistic model are fitted on folds that their
-dictionaries did not see. Scoring covers every document and the whole text.
+dictionaries did not see, and the score is shifted so that 0.5 is where F1 is greatest on them at
+no more than MOST_FALSE false alarms: toxic documents are few, so even odds would overlook too many. Scoring covers every document and the whole text.
 
 Defined cases: a null or empty text has no windows and gets the score of no evidence; labels of null or
 of unknown documents are left out; without documents of both kinds every score is 0; where the trainer has too little
@@ -26,7 +29,6 @@ score is replaced.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,15 +41,19 @@ from pyspark.sql import functions as F
 from quire.llm.common import LOWER, UPPER, labelled_texts
 
 #: Bounds of the training sample: documents of each kind, and bytes of one document.
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 1500, 6000, 16384
-#: Bytes of the dictionaries, and of the segments that the trainer picks for them.
-TOXIC_BYTES, ORDINARY_BYTES = 512, 16384
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 600, 3000, 16384
+#: Bytes of the toxic dictionary at most, of the trainer's dictionaries, and of the segments that the trainer picks.
+TOXIC_BYTES, CANDIDATE_BYTES, ORDINARY_BYTES = 768, 2048, 16384
 TOXIC_SEGMENT, ORDINARY_SEGMENT = 12, 32
-#: Bytes of a window, of its overlap with the next one, and of the shortest match.
-WINDOW, OVERLAP, MATCH = 64, 12, 4
+#: Bytes of a window, and of its overlap with the next one.
+WINDOW, OVERLAP = 64, 12
+#: The same for windows that may become samples; raw text that chooses them; share of ordinary windows that shorten less.
+SAMPLE, SAMPLE_STEP, RAW_BYTES, RARE = 32, 16, 131072, 0.99
+#: Pieces of the trainer's dictionary, how much one has to tell (see telling), and rounds over documents not told yet.
+PIECE, PIECE_STEP, TELLS, ROUNDS = 10, 5, 20.0, 3
 FOLDS = 3
-#: What the surprise of a word has to exceed, and the least number of its documents.
-SURPRISE, SEEN = 3.0, 3
+#: The share of ordinary documents of the folds that may score 0.5 or more.
+MOST_FALSE = 0.015
 #: Shares of ordinary windows below the thresholds.
 LEVELS = (0.99, 0.998, 0.9995)
 MARK = b"~this~mark~opens~each~window~of~text~"
@@ -69,97 +75,159 @@ def starts(length: int) -> range:
     return range(0, max(1, length - OVERLAP), WINDOW - OVERLAP) if length else range(0)
 
 
-def surprising(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    """Words whose documents are toxic more often than chance explains.
-
-    That is n * KL(share, base) less the logarithm of how many words are as frequent, for n documents.
-    """
-    in_toxic, in_ordinary = Counter(), Counter()
-    for words in toxic:
-        in_toxic.update(set(words))
-    for words in ordinary:
-        in_ordinary.update(set(words))
-    total = in_toxic + in_ordinary
-    alike = Counter(total.values())
-    base = len(toxic) / (len(toxic) + len(ordinary))
-
-    def surprise(w: bytes) -> float:
-        n, share = total[w], in_toxic[w] / total[w]
-        if share <= base:
-            return 0.0
-        kl = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)
-        return n * kl - math.log(alike[n])
-
-    return {w for w, n in in_toxic.items() if n >= SEEN and surprise(w) > SURPRISE}
+def content(trained: bytes, samples: list[bytes]) -> bytes:
+    """What a trained dictionary holds behind its tables: it begins with the first eight bytes that some sample has."""
+    whole = b"\n".join(samples)
+    for at in range(8, len(trained) - 8):
+        if trained[at : at + 8] in whole:
+            return trained[at:]
+    return trained
 
 
 def trained(size: int, samples: list[bytes], segment: int) -> bytes:
-    """The dictionary that zstandard's trainer makes of the samples, as content."""
+    """The content of the dictionary that zstandard's trainer makes of the samples."""
     samples = [s for s in samples if len(s) >= 8]
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6, steps=1, threads=0, level=6).as_bytes()
+        return content(zstandard.train_dictionary(size, samples, k=segment, d=6, steps=1, threads=0, level=6).as_bytes(), samples)
     except zstandard.ZstdError:  # too little text to train on
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of both dictionaries."""
-    t, o = [words_of(x) for x in toxic], [words_of(x) for x in ordinary]
-    kept = surprising(t, o)
-    usual = [x[k : k + WINDOW] for x in map(joined, o) for k in range(0, len(x), WINDOW)]
-    return (
-        trained(TOXIC_BYTES, [joined([w for w in words if w in kept]) for words in t], TOXIC_SEGMENT),
-        trained(ORDINARY_BYTES, usual, ORDINARY_SEGMENT),
-    )
+class Lengths:
+    """Compressed lengths of windows with a dictionary's content."""
+
+    def __init__(self, held: bytes):
+        params = zstandard.ZstdCompressionParameters(
+            window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=4, target_length=32,
+            strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+        data = zstandard.ZstdCompressionDict(held + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(compression_params=params)
+        self.compress = zstandard.ZstdCompressor(compression_params=params, dict_data=data).compress
+
+    def __call__(self, windows: list[bytes]) -> np.ndarray:
+        compress = self.compress
+        return np.fromiter((len(compress(MARK + w)) for w in windows), np.int64, len(windows))
+
+
+def windows_of(text: bytes) -> list[bytes]:
+    return [text[k : k + WINDOW] for k in starts(len(text))]
+
+
+def samples_of(text: bytes) -> list[bytes]:
+    return [text[k : k + SAMPLE] for k in range(0, max(1, len(text) - SAMPLE // 2), SAMPLE_STEP)]
+
+
+def alike(toxic: list[bytes], ordinary: list[bytes], known: bytes) -> list[bytes]:
+    """Ordinary texts in the language and manner of the toxic ones: twice as many, those that raw toxic text shortens most."""
+    usual, near = (Lengths(b"".join(texts)[:RAW_BYTES] + known) for texts in (ordinary, toxic))
+    gains = []
+    for k, text in enumerate(ordinary):
+        windows = windows_of(text)
+        gains.append(((usual(windows) - near(windows)).mean() if windows else -np.inf, -k))
+    return [ordinary[-k] for _, k in sorted(gains, reverse=True)[: 2 * len(toxic)]]
+
+
+def candidates(toxic: list[bytes], check: list[bytes], known: bytes) -> bytes:
+    """A dictionary trained on windows of toxic texts that other toxic texts shorten, and as much of the ordinary ones does not."""
+    halves = [[w for t in toxic[h::2] for w in samples_of(t)] for h in (0, 1)]
+    control = [w for t in check[::2] for w in samples_of(t)]
+    usual = Lengths(b"".join(check[1::2])[:RAW_BYTES] + known)
+    plain = Lengths(known)
+    by_half, by_control = [plain(h) for h in halves], plain(control)
+    chosen: list[list[bytes]] = []
+    for k in range(3):
+        new = []
+        for h in (0, 1):
+            if k:
+                other = Lengths(trained(CANDIDATE_BYTES, chosen[1 - h], TOXIC_SEGMENT) + known)
+                gain, chance = by_half[h] - other(halves[h]), by_control - other(control)
+            else:
+                other = Lengths(b"".join(toxic[1 - h :: 2])[:RAW_BYTES] + known)
+                gain, chance = usual(halves[h]) - other(halves[h]), usual(control) - other(control)
+            least = max(np.quantile(chance, RARE), 0) if len(chance) else 0
+            new.append([w for w, g in zip(halves[h], gain, strict=True) if g > least])
+        chosen = new
+    return trained(CANDIDATE_BYTES, chosen[0] + chosen[1], TOXIC_SEGMENT)
+
+
+def telling(toxic: int, ordinary: int, base: float) -> float:
+    """How far the documents in which a piece saves bytes are from the usual mix: their number times the divergence of the shares."""
+    n = toxic + ordinary
+    share = toxic / n if n else 0.0
+    if share <= base:
+        return 0.0
+    return n * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0))
+
+
+def shortened(texts: list[bytes], plain: Lengths, both: Lengths) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Windows that the second dictionary shortens, with their texts' numbers and their lengths by the first."""
+    windows = [w for t in texts for w in windows_of(t)]
+    owner = np.repeat(np.arange(len(texts)), [len(starts(len(t))) for t in texts])
+    usual = plain(windows)
+    at = np.flatnonzero(both(windows) < usual)
+    return [windows[k] for k in at], owner[at], usual[at]
+
+
+def pieces(toxic: list[bytes], check: list[bytes], known: bytes) -> list[bytes]:
+    """Pieces of the candidates that shorten toxic documents rather than ordinary ones, the most telling first."""
+    found = candidates(toxic, check, known)
+    plain, both = Lengths(known), Lengths(found + known)
+    sides = [shortened(texts, plain, both) for texts in (toxic, check)]
+    base = len(toxic) / (len(toxic) + len(check))
+    left = [np.ones(len(s[0]), bool) for s in sides]
+
+    def worth(hits: list[np.ndarray]) -> float:
+        return telling(*(len(np.unique(owner[h & free])) for h, free, (_, owner, _) in zip(hits, left, sides, strict=True)), base)
+
+    open_pieces = []
+    for piece in sorted({found[k : k + PIECE] for k in range(0, len(found) - PIECE + 1, PIECE_STEP)}):
+        lengths = Lengths(piece + known)
+        hits = [usual > lengths(windows) for windows, _, usual in sides]
+        if worth(hits) >= TELLS:
+            open_pieces.append((piece, hits))
+    kept = []
+    while open_pieces:
+        worths = [worth(hits) for _, hits in open_pieces]
+        best = max(range(len(worths)), key=worths.__getitem__)
+        if worths[best] < TELLS:
+            break
+        piece, hits = open_pieces[best]
+        kept.append(piece)
+        for free, h in zip(left, hits, strict=True):
+            free &= ~h
+        open_pieces = [p for k, p in enumerate(open_pieces) if k != best and worths[k] >= TELLS]
+    return kept
 
 
-def stretches(data: bytes) -> np.ndarray:
-    """Every MATCH bytes of data as a number, by place."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint32)
-    n = len(x) - MATCH + 1
-    return sum(x[k : k + n] << np.uint32(8 * k) for k in range(MATCH)) if n > 0 else np.zeros(0, np.uint32)
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Contents of both dictionaries."""
+    t, o = ([joined(words_of(x)) for x in texts] for texts in (toxic, ordinary))
+    known = trained(ORDINARY_BYTES, [x[k : k + WINDOW] for x in o for k in range(0, len(x), WINDOW)], ORDINARY_SEGMENT)
+    kept: list[bytes] = []
+    for k in range(ROUNDS):
+        if len(t) < 4 or len(kept) * PIECE >= TOXIC_BYTES:
+            break
+        held = b"".join(kept[::-1]) + known
+        new = pieces(t, alike(t, o, held) if k else o[: 2 * len(t)], held)
+        if not new:
+            break
+        kept += new
+        saved = Distance(b"".join(kept[::-1]), known)
+        t = [x for x in t if not (saved(x) > 0).any()]
+    return b"".join(kept[: TOXIC_BYTES // PIECE][::-1]), known
 
 
 class Distance:
     """Bytes that the toxic dictionary saves on the windows of a text."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.compress = []
-        for content in (ordinary + MARK, toxic + ordinary + MARK):
-            params = zstandard.ZstdCompressionParameters(
-                window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=MATCH, target_length=32,
-                strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
-            )
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(compression_params=params)
-            self.compress.append(zstandard.ZstdCompressor(compression_params=params, dict_data=held).compress)
-        own = np.setdiff1d(stretches(toxic), stretches(ordinary))
-        self.own = np.zeros(1 << 16, bool)
-        self.own[self.slot(own)] = True
-        self.exact = own
-
-    @staticmethod
-    def slot(values: np.ndarray) -> np.ndarray:
-        return (values * np.uint32(2654435761)) >> np.uint32(16)
+        self.usual, self.both = Lengths(ordinary), Lengths(toxic + ordinary)
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The savings, window by window."""
-        begin = starts(len(text))
-        out = np.zeros(len(begin), np.int64)
-        if not len(begin) or not len(self.exact):
-            return out
-        seen = stretches(text)
-        places = np.flatnonzero(self.own[self.slot(seen)])
-        places = places[np.isin(seen[places], self.exact)]
-        usual, both = self.compress
-        step = WINDOW - OVERLAP
-        last = places // step
-        inside = places - (last - 1) * step + MATCH <= WINDOW  # also whole in the window before
-        for k in np.unique(np.concatenate([last, last[inside] - 1])).tolist():
-            if 0 <= k < len(out):
-                window = MARK + text[begin[k] : begin[k] + WINDOW]
-                out[k] = len(usual(window)) - len(both(window))
-        return out
+        windows = windows_of(text)
+        return self.usual(windows) - self.both(windows)
 
 
 class Model(NamedTuple):
@@ -180,7 +248,7 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 10.0, rounds: int = 60) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
     x = np.c_[np.ones(len(x)), x]
     b = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -206,7 +274,23 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     thresholds = np.maximum(np.quantile(clean, LEVELS), 0) if len(clean) else np.full(len(LEVELS), 3.0)
     model = Model(*train_dictionaries(toxic, ordinary), thresholds, np.zeros(0))
     x = np.array([model.evidence(saved) for _, saved in parts])
-    return model._replace(weights=logistic(x, np.array([float(p[0]) for p in parts])))
+    y = np.array([float(p[0]) for p in parts])
+    weights = logistic(x, y)
+    weights[0] -= best_cut(np.c_[np.ones(len(x)), x] @ weights, y)
+    return model._replace(weights=weights)
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """Where F1 is greatest on the folds among cuts of at most MOST_FALSE alarms, half way to the next lower value."""
+    order = np.argsort(-z, kind="stable")
+    hits, at = np.cumsum(y[order]), np.arange(1, len(z) + 1)
+    last = np.append(z[order][1:] < z[order][:-1], True)  # equal values stay together
+    allowed = last & (at - hits <= MOST_FALSE * (len(y) - y.sum()))
+    if not allowed.any():
+        return float(z[order][0])
+    best = int(np.argmax(np.where(allowed, 2 * hits / (at + y.sum()), -1)))
+    below = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1
+    return float((z[order][best] + below) / 2)
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
