@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import classify, ranges, toc
+from quire.operators import classify, names, ranges, toc
 from quire.plans.catalogue import ENTRIES, PAGES, TOC_LINES, base, plain, query, read
 from quire.plans.text_queries import tokens_sql, vectors_sql
 
@@ -204,7 +204,9 @@ owner AS (SELECT pdf_id, page, max(seq) AS section FROM spread GROUP BY pdf_id,
 SELECT pdf_id, count(*) AS covered, CAST(sum(section) AS BIGINT) AS sections FROM owner GROUP BY pdf_id""")
 def range_coverage(spark, d):
     items = base(spark, d, ITEMS).withColumnRenamed("seq", "section")
-    return ranges.coverage(items, F.col("total")).groupBy("pdf_id").agg(F.count("*").alias("covered"), F.sum("section").cast("long").alias("sections"))
+    spans = ranges.coverage_spans(items, F.col("total"))
+    pages = F.col("pageTo") - F.col("pageFrom") + 1
+    return spans.groupBy("pdf_id").agg(F.sum(pages).cast("long").alias("covered"), F.sum(pages * F.col("section")).cast("long").alias("sections"))
 
 
 SEGMENTS = "SELECT DISTINCT source AS pdf_id, CAST(doc_id % 7 AS INT) AS item, CAST(doc_id % 7 * 100 + 1 AS INT) AS pageFrom, CAST(doc_id % 7 * 100 + 160 AS INT) AS pageTo FROM {documents}"
@@ -284,7 +286,7 @@ NAMED = "SELECT name, CAST(min(ord) AS INT) AS ord FROM (SELECT n_name AS name,
 
 @query("catalog_contains", f"WITH {TITLED_SQL} SELECT id, arg_min(name, ord) AS contained FROM titled JOIN ({plain(NAMED)}) ON contains({_norm_sql('title || chr(10) || preview')}, {_norm_sql('name')}) GROUP BY id")
 def catalog_contains(spark, d):
-    held = classify.with_catalog(_titled(spark, d), base(spark, d, NAMED)).select("id", classify.contained(F.concat_ws("\n", "title", "preview")).alias("contained"))
+    held = _titled(spark, d).select("id", names.first_contained(base(spark, d, NAMED), F.concat_ws("\n", "title", "preview")).alias("contained"))
     return held.where("contained IS NOT NULL")
 
 
@@ -391,7 +393,7 @@ flagged AS (
   SELECT *, CASE WHEN pf = coalesce(lag(pt) OVER w, 0) + 1 AND title = lag(title) OVER w AND kind = lag(kind) OVER w THEN 0 ELSE 1 END AS s FROM typed WINDOW w AS (PARTITION BY pdf_id ORDER BY item)),
 isle AS (SELECT *, sum(s) OVER (PARTITION BY pdf_id ORDER BY item) AS g FROM flagged)
 SELECT pdf_id, CAST(min(item) AS BIGINT) AS place, arg_min(title, item) AS title, min(pf) AS page_from, arg_max(pt, item) AS page_to,
-  CASE WHEN any_value(known) THEN CAST(arg_min(vf, item) AS INT) ELSE -1 END AS found_from, CASE WHEN any_value(known) THEN CAST(arg_max(vt, item) AS INT) ELSE -1 END AS found_to,
+  CASE WHEN any_value(known) THEN CAST(arg_min(vf, item) AS INT) ELSE -1 END AS found_from, CASE WHEN any_value(known) THEN CAST(arg_max(vt, item) AS INT) WHEN count(*) > 1 THEN CAST(arg_max(pt, item) AS INT) ELSE -1 END AS found_to,
   arg_min(verification, item) AS verification, arg_min(kind, item) AS document_type, 'index_ready' AS status FROM isle GROUP BY pdf_id, g
 UNION ALL SELECT pdf_id, -1, '', -1, -1, -1, -1, 'none', '', 'no_toc' FROM toc WHERE pdf_id NOT IN (SELECT pdf_id FROM usable)"""
 
