@@ -9,10 +9,13 @@ keeps its shape. Kinds:
   ip      dotted IPv4 with octets to 255; permuted as a 32-bit number
   date    year-month-day or day.month.year (also with /) from 1900 to 2099; permuted as a day number
   ssn     area-group-serial with valid ranges; permuted among the valid ones
-  phone   international or printed North American numbers; the digits after the country code
-  email   characters before the last two labels of the domain, within digits and letters
+  phone   international or printed North American numbers; the digits after the country code, which stays
+  email   characters before the last two labels of the domain, within digits and letters, as if in small letters
   secret  16 to 64 hex digits assigned to a token, secret, password or key
 
+Digits are permuted as a value, without the blanks, dashes and brackets between them, and then laid over these: so a
+card or a phone number keeps its pseudonym in every printed form, with and without its country code, and an address in every case.
+
 What has the form but fails validation stays as it is. Nothing is looked up or joined, so
 there is neither a shuffle nor a table of originals.
 
@@ -47,6 +50,10 @@ _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _CARD = r"(?<!\d)(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)"
 PATTERN = "|".join((_CARD, _EMAIL, _SECRET, _PHONE, _IP, _DATE, _SSN))
 
+# Country codes of one and of two digits; all others have three.
+ONE_DIGIT = "^[17]"
+TWO_DIGITS = "^(?:20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98)"
+
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 _SSN_AREAS, _SSN_GROUPS, _SSN_SERIALS = 898, 99, 9999
 
@@ -62,11 +69,25 @@ def _luhn(digits: Column, first: int) -> Column:
     return F.aggregate(places, F.lit(0), lambda s, x: s + value(x))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _laid(digits: Column, form: Column) -> Column:
+    """The digits in the places of the digits of a form, whose other characters stay."""
+    return _bound(digits, lambda d: F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(
+        c.between("0", "9"), F.substr(d, F.length(F.regexp_replace(F.substr(form, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), ""))
+
+
 def _card(m: Column, key: str) -> Column:
     bare = F.regexp_replace(m, r"\D", "")
-    body = feistel.permute_text(F.substr(m, F.lit(1), F.length(m) - 1), key + "card", (DIGITS,))
-    check = (F.lit(10) - _luhn(F.regexp_replace(body, r"\D", ""), 0) % 10) % 10
-    return F.when(_luhn(bare, 1) % 10 == 0, F.concat(body, check.cast("string")))
+
+    def filled(body: Column) -> Column:
+        return F.concat(body, ((F.lit(10) - _luhn(body, 0) % 10) % 10).cast("string"))
+
+    body = feistel.permute_text(F.substr(bare, F.lit(1), F.length(bare) - 1), key + "card", (DIGITS,))
+    return F.when(_luhn(bare, 1) % 10 == 0, _laid(_bound(body, filled), m))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -109,14 +130,19 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^\+\d{1,3}[ .\-]", 0)
-    return F.concat(head, feistel.permute_text(F.substr(m, F.length(head) + 1), key + "phone", (DIGITS,)))
+    bare = F.regexp_replace(m, r"\D", "")
+    code = F.when(~m.startswith("+"), 0).when(bare.rlike(ONE_DIGIT), 1).when(bare.rlike(TWO_DIGITS), 2).otherwise(3)
+    new = F.concat(F.substr(bare, F.lit(1), code), feistel.permute_text(F.substr(bare, code + 1), key + "phone", (DIGITS,)))
+    return _laid(new, m)
 
 
 def _email(m: Column, key: str) -> Column:
     tail = F.regexp_extract(m, r"[@.][^@.]+\.[^@.]+$", 0)
     head = F.substr(m, F.lit(1), F.length(m) - F.length(tail))
-    return F.concat(feistel.permute_text(head, key + "email", (DIGITS, LOWER, UPPER)), tail)
+    new = feistel.permute_text(F.translate(head, UPPER, LOWER), key + "email", (DIGITS, LOWER))
+    cased = _bound(new, lambda n: F.array_join(F.transform(F.split(head, ""), lambda c, i: F.when(
+        c.between("A", "Z"), F.upper(F.substr(n, i + 1, F.lit(1)))).otherwise(F.substr(n, i + 1, F.lit(1)))), ""))
+    return F.concat(cased, tail)
 
 
 def _secret(m: Column, key: str) -> Column:
