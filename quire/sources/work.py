@@ -42,4 +42,16 @@ def freeze(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/quire/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._frozen_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what freeze has written for these frames; nothing may read them any more. Other frames are left alone."""
+    for df in frames:
+        path = df.__dict__.pop("_frozen_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
