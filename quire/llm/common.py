@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources.work import freeze as materialize  # writes a table to the shared folder and reads it back
+from quire.sources.work import release
 
-__all__ = ["bucket", "fresh", "global_index", "labelled_texts", "lower_ascii", "materialize", "table", "word_count"]
+__all__ = ["bucket", "fresh", "global_index", "labelled_texts", "lower_ascii", "materialize", "release", "table", "word_count"]
 
 # The six white-space characters of the word definition.
 BLANKS = " \t\n\x0b\x0c\r"

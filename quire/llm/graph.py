@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import materialize, release
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the least node around it."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every larger neighbour of a node is tied to the least node around it. Also returns the written table that this reads."""
     both = _both(edges)
     # written, so that the join reads the edges of a hub from an exchange of its own, which Spark can split
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -46,5 +46,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = seen
-        now = materialize(_small_star(_large_star(now)))
+        tied, least = _large_star(now)
+        last, now = now, materialize(_small_star(tied))
+        release(last, least)
     raise RuntimeError("components did not settle")
