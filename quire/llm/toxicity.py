@@ -49,7 +49,7 @@ TOXIC_SEGMENT, ORDINARY_SEGMENT = 12, 32
 WINDOW, OVERLAP = 64, 12
 #: The same for windows that may become samples; raw text that chooses them; share of ordinary windows that shorten less.
 SAMPLE, SAMPLE_STEP, RAW_BYTES, RARE = 32, 16, 131072, 0.99
-#: Pieces of the trainer's dictionary, how much one has to tell (see telling), and rounds over documents not told yet.
+#: Pieces of the trainer's dictionary, how much one has to tell at most (see telling), and rounds over documents not told yet.
 PIECE, PIECE_STEP, TELLS, ROUNDS = 10, 5, 20.0, 3
 FOLDS = 3
 #: The share of ordinary documents of the folds that may score 0.5 or more.
@@ -169,7 +169,7 @@ def shortened(texts: list[bytes], plain: Lengths, both: Lengths) -> tuple[list[b
     return [windows[k] for k in at], owner[at], usual[at]
 
 
-def pieces(toxic: list[bytes], check: list[bytes], known: bytes) -> list[bytes]:
+def pieces(toxic: list[bytes], check: list[bytes], known: bytes, tells: float) -> list[bytes]:
     """Pieces of the candidates that shorten toxic documents rather than ordinary ones, the most telling first."""
     found = candidates(toxic, check, known)
     plain, both = Lengths(known), Lengths(found + known)
@@ -184,19 +184,19 @@ def pieces(toxic: list[bytes], check: list[bytes], known: bytes) -> list[bytes]:
     for piece in sorted({found[k : k + PIECE] for k in range(0, len(found) - PIECE + 1, PIECE_STEP)}):
         lengths = Lengths(piece + known)
         hits = [usual > lengths(windows) for windows, _, usual in sides]
-        if worth(hits) >= TELLS:
+        if worth(hits) >= tells:
             open_pieces.append((piece, hits))
     kept = []
     while open_pieces:
         worths = [worth(hits) for _, hits in open_pieces]
         best = max(range(len(worths)), key=worths.__getitem__)
-        if worths[best] < TELLS:
+        if worths[best] < tells:
             break
         piece, hits = open_pieces[best]
         kept.append(piece)
         for free, h in zip(left, hits, strict=True):
             free &= ~h
-        open_pieces = [p for k, p in enumerate(open_pieces) if k != best and worths[k] >= TELLS]
+        open_pieces = [p for k, p in enumerate(open_pieces) if k != best and worths[k] >= tells]
     return kept
 
 
@@ -205,11 +205,12 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     t, o = ([joined(words_of(x)) for x in texts] for texts in (toxic, ordinary))
     known = trained(ORDINARY_BYTES, [x[k : k + WINDOW] for x in o for k in range(0, len(x), WINDOW)], ORDINARY_SEGMENT)
     kept: list[bytes] = []
+    tells = min(TELLS, 8 + len(t) / 18)  # few documents can tell little
     for k in range(ROUNDS):
         if len(t) < 4 or len(kept) * PIECE >= TOXIC_BYTES:
             break
         held = b"".join(kept[::-1]) + known
-        new = pieces(t, alike(t, o, held) if k else o[: 2 * len(t)], held)
+        new = pieces(t, alike(t, o, held) if k else o[: 2 * len(t)], held, tells)
         if not new:
             break
         kept += new
