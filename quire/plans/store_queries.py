@@ -407,6 +407,24 @@ def replace_partition(spark, d):
     return store.replace_keys(e, e.where("pdf_id % 4 = 1 AND seq < 3").withColumn("seq", F.col("seq") + 100), "pdf_id")
 
 
+@query("versioned_pages", f"""
+WITH e AS (SELECT pdf_id, seq, qty FROM ({plain(ENTRIES)})), n AS (SELECT pdf_id, seq + 100 AS seq, qty FROM e WHERE pdf_id % 4 = 1 AND seq < 3)
+SELECT 1 AS version, * FROM e UNION ALL SELECT 2, * FROM e WHERE pdf_id NOT IN (SELECT pdf_id FROM n) UNION ALL SELECT 2, * FROM n
+UNION ALL SELECT 3, * FROM e WHERE pdf_id NOT IN (SELECT pdf_id FROM n) AND pdf_id % 9 <> 0 UNION ALL SELECT 3, * FROM n WHERE pdf_id % 9 <> 0""")
+def versioned_pages(spark, d):
+    """Three versions of the stored pages: as first written, with some documents replaced, without deleted ones."""
+    from quire.sources.versions import Tables
+    from quire.sources.work import new_folder
+
+    e, records = base(spark, d, ENTRIES).select("pdf_id", "seq", "qty"), _records(spark, d).select("pdf_id", "filename")
+    tables = Tables(spark, new_folder(spark), buckets=8)
+    tables.commit({"pages": e, "records": records})
+    tables.commit({"pages": e.where("pdf_id % 4 = 1 AND seq < 3").withColumn("seq", F.col("seq") + 100)})
+    tables.remove(records.where("pdf_id % 9 = 0"), "pages", "records")
+    read = [tables.read("pages", k).select(F.lit(k).alias("version"), "pdf_id", "seq", "qty") for k in (1, 2, 3)]
+    return read[0].unionAll(read[1]).unionAll(read[2])
+
+
 @query("store_migrate_counts", f"SELECT 'records' AS kind, (SELECT count(*) FROM orders) AS source, (SELECT count(*) FROM ({R})) AS target UNION ALL SELECT 'pages', (SELECT count(*) FROM ({plain(ENTRIES)})), (SELECT count(*) FROM ({plain(ENTRIES)}))")
 def store_migrate_counts(spark, d):
     """Copy into empty targets with wider schemas, then count both sides."""

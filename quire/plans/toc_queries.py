@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import classify, names, ranges, toc
-from quire.plans.catalogue import ENTRIES, PAGES, TOC_LINES, base, plain, query, read
+from quire.plans.catalogue import ENTRIES, PAGES, RECORDS, TOC_LINES, base, plain, query, read
 from quire.plans.text_queries import tokens_sql, vectors_sql
 
 TOC_SQL = f"toc AS (SELECT pdf_id, string_agg(line, chr(10) ORDER BY seq) AS text FROM ({plain(TOC_LINES)}) GROUP BY pdf_id)"
@@ -349,14 +349,18 @@ SPOKEN = f"""
 SELECT pdf_id, CAST((part + supp) % 25 + 1 AS INT) AS page_num, 'Here the ' || min(p_name) || ' is set out, with ' || CAST(count(*) AS STRING) || ' more' AS text
 FROM ({ENTRIES}) AS e JOIN {{part}} ON part = p_partkey WHERE pdf_id % 10 <> 0 GROUP BY pdf_id, CAST((part + supp) % 25 + 1 AS INT)"""
 SAID = "title || chr(10) || preview"
-INDEX_SQL = f"""
-WITH {HYBRID_SQL},
-clamped AS (SELECT pdf_id, parser, pos, title, 25 AS total, greatest(1, least(page_from, 25)) AS pf, page_to FROM hybrid),
+
+
+def _index_sql(toc_sql: str, sizes: str, spoken: str) -> str:
+    """CTEs from toc to isle, whose rows of one g are an entry; sizes: (pdf_id, total); spoken: (pdf_id, page_num, text)."""
+    return f"""{HYBRID_SQL.replace(TOC_SQL, toc_sql)},
+sizes AS ({sizes}),
+clamped AS (SELECT pdf_id, parser, pos, title, total, greatest(1, least(page_from, total)) AS pf, page_to FROM hybrid JOIN sizes USING (pdf_id)),
 usable AS (SELECT * FROM clamped WHERE pdf_id IN (SELECT pdf_id FROM clamped GROUP BY pdf_id HAVING count(*) >= 2)),
 firsts AS (SELECT *, greatest(pf, least(page_to, total)) AS pt FROM usable QUALIFY row_number() OVER (PARTITION BY pdf_id, lower(title), pf ORDER BY parser, pos) = 1),
 led AS (SELECT *, lead(pf) OVER w AS nxt, row_number() OVER w AS ord FROM firsts WINDOW w AS (PARTITION BY pdf_id ORDER BY pf, title, parser, pos)),
 built AS (SELECT pdf_id, ord, title, pf, nxt, CASE WHEN nxt > pf THEN least(greatest(pf, nxt - 1), total) ELSE pt END AS pt, {{'d': pdf_id, 'o': ord}} AS k FROM led),
-spoken AS (SELECT *, {{'d': pdf_id, 'p': page_num}} AS k, {tokens_sql("text")} AS tt FROM ({plain(SPOKEN)})),
+spoken AS (SELECT *, {{'d': pdf_id, 'p': page_num}} AS k, {tokens_sql("text")} AS tt FROM ({spoken})),
 entry_v AS ({vectors_sql("built", "k", "title")}), spoken_v AS ({vectors_sql("spoken", "k", "text")}),
 sem_e AS (
   SELECT a.k.d AS pdf_id, a.k.o AS ord, b.k.p AS page_num, sum(a.value * b.value) AS sem FROM entry_v AS a JOIN spoken_v AS b ON a.idx = b.idx AND a.k.d = b.k.d GROUP BY ALL),
@@ -391,10 +395,15 @@ best AS (
 typed AS (SELECT seen.*, coalesce(contained, best.name, 'Other') AS kind FROM seen LEFT JOIN held ON seen.id = held.id LEFT JOIN best ON seen.id = best.id),
 flagged AS (
   SELECT *, CASE WHEN pf = coalesce(lag(pt) OVER w, 0) + 1 AND title = lag(title) OVER w AND kind = lag(kind) OVER w THEN 0 ELSE 1 END AS s FROM typed WINDOW w AS (PARTITION BY pdf_id ORDER BY item)),
-isle AS (SELECT *, sum(s) OVER (PARTITION BY pdf_id ORDER BY item) AS g FROM flagged)
+isle AS (SELECT *, sum(s) OVER (PARTITION BY pdf_id ORDER BY item) AS g FROM flagged)"""
+
+
+INDEX_ENTRY = """
 SELECT pdf_id, CAST(min(item) AS BIGINT) AS place, arg_min(title, item) AS title, min(pf) AS page_from, arg_max(pt, item) AS page_to,
   CASE WHEN any_value(known) THEN CAST(arg_min(vf, item) AS INT) ELSE -1 END AS found_from, CASE WHEN any_value(known) THEN CAST(arg_max(vt, item) AS INT) WHEN count(*) > 1 THEN CAST(arg_max(pt, item) AS INT) ELSE -1 END AS found_to,
-  arg_min(verification, item) AS verification, arg_min(kind, item) AS document_type, 'index_ready' AS status FROM isle GROUP BY pdf_id, g
+  arg_min(verification, item) AS verification, arg_min(kind, item) AS document_type"""
+INDEX_SQL = f"""
+WITH {_index_sql(TOC_SQL, "SELECT pdf_id, 25 AS total FROM toc", plain(SPOKEN))} {INDEX_ENTRY}, 'index_ready' AS status FROM isle GROUP BY pdf_id, g
 UNION ALL SELECT pdf_id, -1, '', -1, -1, -1, -1, 'none', '', 'no_toc' FROM toc WHERE pdf_id NOT IN (SELECT pdf_id FROM usable)"""
 
 
@@ -409,3 +418,49 @@ def index_pipeline(spark, d):
         "pdf_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("place"), F.coalesce("title", F.lit("")).alias("title"), number("pageFrom").alias("page_from"), number("pageTo").alias("page_to"),
         number("verifiedPageFrom").alias("found_from"), number("verifiedPageTo").alias("found_to"), F.coalesce("verificationStatus", F.lit("none")).alias("verification"),
         F.coalesce("documentType", F.lit("")).alias("document_type"), "status")
+
+
+# A store for index generation: every thirteenth document has no record, every tenth no pages; the others have a contents page before the pages that speak.
+FILED = f"SELECT pdf_id, filename, total_pages, status, index_ready, index_source, updated_at, updated_at AS created_at FROM ({RECORDS}) AS r WHERE pdf_id % 13 <> 0"
+HEADER = "INDEX\nSr. No  Particulars of documents  Page No"
+BOUND = f"SELECT pdf_id, seq, line FROM ({TOC_LINES}) AS lines WHERE pdf_id % 10 <> 0"
+BOUND_SQL = f"toc AS (SELECT pdf_id, '{HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY seq) AS text FROM ({plain(BOUND)}) GROUP BY pdf_id)"
+LATER = f"SELECT pdf_id, page_num + 1 AS page_num, text FROM ({SPOKEN}) AS spoken"
+GENERATED_SQL = f"""
+WITH filed AS ({plain(FILED)}), {_index_sql(BOUND_SQL, "SELECT pdf_id, total_pages AS total FROM filed", f"SELECT pdf_id, 1 AS page_num, text FROM toc UNION ALL {plain(LATER)}")},
+indexed AS ({INDEX_ENTRY} FROM isle GROUP BY pdf_id, g),
+everyone AS (SELECT pdf_id FROM filed UNION SELECT pdf_id FROM toc)
+SELECT indexed.* REPLACE (row_number() OVER (PARTITION BY pdf_id ORDER BY place) AS place), CAST(count(*) OVER (PARTITION BY pdf_id) AS INT) AS total_entries, 'toc-hybrid' AS index_source, filename, 'index_ready' AS status FROM indexed JOIN filed USING (pdf_id)
+UNION ALL SELECT pdf_id, -1, '', -1, -1, -1, -1, 'none', '', 0, coalesce(index_source, ''), coalesce(filename, ''),
+  CASE WHEN filename IS NULL THEN 'no record' WHEN pdf_id NOT IN (SELECT pdf_id FROM toc) THEN 'no pages' ELSE 'no_toc' END
+FROM everyone LEFT JOIN filed USING (pdf_id) WHERE pdf_id NOT IN (SELECT pdf_id FROM indexed)"""
+SAVED = "array<struct<title:string,pageFrom:int,pageTo:int,verifiedPageFrom:int,verifiedPageTo:int,verificationStatus:string,documentType:string>>"
+
+
+@query("generate_index", GENERATED_SQL)
+def generate_index(spark, d):
+    """From stored pages and records to indexes and records that are saved as one version and read back, and what could not be indexed."""
+    from quire.plans import generate
+    from quire.sources.versions import Tables
+    from quire.sources.work import new_folder
+
+    listed = F.array_sort(F.collect_list(F.struct("seq", "line")))
+    lines = F.array_join(F.transform(listed, lambda s: s.line), "\n")
+    contents = base(spark, d, BOUND).groupBy("pdf_id").agg(F.concat(F.lit(HEADER + "\n"), lines).alias("text")).withColumn("page_num", F.lit(1))
+    pages, records = contents.unionByName(base(spark, d, LATER)), base(spark, d, FILED)
+    out = generate.generate(pages, records, F.current_timestamp(), base(spark, d, NAMED), [])
+    tables = Tables(spark, new_folder(spark), buckets=8)
+    tables.commit({"records": records})
+    generate.save(tables, out)
+    entry = tables.read("indexes").select("pdf_id", "total_entries", F.posexplode(F.from_json("index", SAVED)).alias("at", "e"))
+    filed = tables.read("records")
+    number = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    found = entry.join(filed, "pdf_id").select(
+        "pdf_id", (F.col("at") + 1).cast("long").alias("place"), "e.title", number("e.pageFrom").alias("page_from"), number("e.pageTo").alias("page_to"),
+        number("e.verifiedPageFrom").alias("found_from"), number("e.verifiedPageTo").alias("found_to"), F.coalesce("e.verificationStatus", F.lit("none")).alias("verification"),
+        F.col("e.documentType").alias("document_type"), "total_entries", "index_source", "filename", "status")
+    none = {"place": F.lit(-1).cast("long"), "title": F.lit(""), "verification": F.lit("none"), "document_type": F.lit(""), "total_entries": F.lit(0)} | {
+        c: F.lit(-1) for c in ("page_from", "page_to", "found_from", "found_to")}
+    failed = out.failed.join(filed.select("pdf_id", "index_source", "filename"), "pdf_id", "left").withColumns(none).withColumns(
+        {"status": F.col("reason")} | {c: F.coalesce(c, F.lit("")) for c in ("index_source", "filename")})
+    return found.unionByName(failed.select(*found.columns))

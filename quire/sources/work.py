@@ -33,6 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def new_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The name of a folder that nobody has used, in the shared folder or the one given, under the application's id."""
+    return f"{folder or shared_folder(spark)}/quire/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def freeze(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder, or to the one given, and read it back.
 
@@ -40,7 +45,7 @@ def freeze(df: DataFrame, folder: str | None = None) -> DataFrame:
     with each other after the loss of executors. The files lie under the application's id and can go when it has ended.
     """
     spark = df.sparkSession
-    path = f"{folder or shared_folder(spark)}/quire/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark, folder)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._frozen_at = path
