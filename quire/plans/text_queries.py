@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import embed
 from quire.functions import text as T
-from quire.operators import retrieve
+from quire.operators import postings, retrieve
 from quire.plans.catalogue import PAGES, base, plain, query, read
 
 QUESTION = "Licensed under the Apache License for the people of this place"
@@ -62,6 +62,24 @@ def hybrid_retrieval(spark, d):
     return hits.select("pdf_id", "page_num", "rank", F.round("score", 6).alias("score"))
 
 
+#: Questions asked of every document.
+ASKED = (QUESTION, "the people of this place", "data and model", "licensed")
+MANY_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS question, * FROM ({HYBRID_SQL.replace(_Q, x)} SELECT pdf_id, page_num, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM hit WHERE score > 0 OR best <= 0)"
+    for k, x in enumerate(ASKED))
+
+
+@query("retrieve_many", MANY_SQL)
+def retrieve_many(spark, d):
+    """Several questions of every document at once, over postings that are stored before."""
+    pages = _pages(spark, d)
+    listed = F.array(*[F.struct(F.lit(k).alias("n"), F.lit(x).alias("question")) for k, x in enumerate(ASKED)])
+    asked = pages.select("pdf_id").distinct().select("pdf_id", F.explode(listed).alias("_q")).select(
+        F.struct("pdf_id", "_q.n").alias("qid"), "pdf_id", "_q.question", F.lit(CURRENT).alias("current"))
+    hits = postings.retrieve_many(postings.store(postings.post(pages)), pages, asked, 8)
+    return hits.select(F.col("qid.n").alias("question"), "pdf_id", "page_num", "rank", F.round("score", 6).alias("score"))
+
+
 @query("page_refs_context", HYBRID_SQL + """
 SELECT pdf_id, string_agg('--- Page ' || page_num || ' ---' || chr(10) || substr(text, 1, 1400), chr(10) || chr(10) ORDER BY rank) AS context,
   list(page_num ORDER BY page_num) AS page_refs, count(*) AS chunks_used
