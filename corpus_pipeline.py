@@ -24,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by a similarity of 0.8 on five words."""
+    """One document of each group of texts linked by a similarity of 0.8 on five words: by SimHash's index first, exactly for what it leaves apart."""
     return near.dedup(docs)
 
 

@@ -1,9 +1,10 @@
-"""Near copies by word-shingle similarity: banded minima find candidates, shared shingles decide.
+"""Near copies by word-shingle similarity: SimHash fingerprints find copies, banded minima the rest, shared shingles decide.
 
 Two texts are linked if their sets of word shingles (64-bit hashes) have a Jaccard similarity of at
-least SIMILARITY. A fixed-width fingerprint cannot promise that: at a similarity of 0.8 SimHash
-differs in about ten of 64 bits, with a wide spread. Here a set is posted under BANDS keys of
-ROWS minima each. A pair of similarity s shares no key with a probability of
+least SIMILARITY. First their SimHash fingerprints meet in the byte-position index with count filtering (see simhash), and groups of
+fingerprints at most three bits apart are compared exactly. A fixed-width fingerprint cannot promise all links: at a similarity of 0.8 SimHash
+differs in about ten of 64 bits, with a wide spread. So what the fingerprints leave apart goes an exact way: a set is posted under BANDS keys of
+ROWS minima each, and keys whose sets are all linked already are passed over. A pair of similarity s shares no key with a probability of
 (1 - s**ROWS) ** BANDS, which is 7e-10 at 0.8 and less above.
 
 Texts of equal sets are merged first. Texts that share keys form loose groups. A group of at most a block is one cell; in a
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import simhash
 from quire.llm.common import LOWER, UPPER, materialize, release
 from quire.llm.graph import components
 
@@ -69,13 +71,13 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _sketches(shingle: int):
     def of(texts: pd.Series) -> pd.DataFrame:
-        ids, keys = np.empty(len(texts), np.uint64), np.empty((len(texts), BANDS), "<i8")
+        ids, prints, keys = np.empty(len(texts), np.uint64), np.empty(len(texts), np.uint64), np.empty((len(texts), BANDS), "<i8")
         for k, t in enumerate(texts):
             hashes = shingles(t, shingle)
-            ids[k], keys[k] = xxhash.xxh64_intdigest(hashes.tobytes()), band_keys(hashes)
-        return pd.DataFrame({"fp": ids.view(np.int64), "keys": list(keys)})
+            ids[k], prints[k], keys[k] = xxhash.xxh64_intdigest(hashes.tobytes()), simhash.fingerprint(t, shingle), band_keys(hashes)
+        return pd.DataFrame({"fp": ids.view(np.int64), "print": prints.view(np.int64), "keys": list(keys)})
 
-    return F.pandas_udf(of, "fp long, keys array<long>")
+    return F.pandas_udf(of, "fp long, print long, keys array<long>")
 
 
 def _sets(shingle: int):
@@ -189,6 +191,11 @@ def _linked(similarity: tuple[int, int]):
 
 
 def _found(cells: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Edges (u, v, group) of the cells (group, cell, fp, hashes) of loose groups."""
+    return _compared(cells, similarity)
+
+
+def _compared(cells: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Edges (u, v, group) of cells (group, cell, fp, hashes)."""
     together = cells.repartition("group", "cell").sortWithinPartitions("group", "cell", "fp")
     return materialize(together.mapInPandas(_linked(similarity), "u long, v long, group long").distinct())
@@ -199,47 +206,75 @@ def _cell(main: Column, rest: Column) -> Column:
     return F.shiftleft(main.cast("long"), 31).bitwiseOR(rest.cast("long"))
 
 
-def loose_groups(nodes: DataFrame) -> DataFrame:
-    """(fp, group) for sets that share a band key with others, directly or over further sets."""
-    posted = nodes.select("fp", F.explode("keys").alias("key"))
-    least = posted.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("sets")).where("sets > 1").select("key", "least")
+def alike_groups(nodes: DataFrame) -> DataFrame:
+    """(fp, group) for sets whose fingerprints differ in at most three bits, directly or over further ones: SimHash's index."""
+    reached = components(simhash.fingerprint_links(nodes.select(F.col("print").alias("fp")).distinct()))
+    named = nodes.join(reached, nodes.print == reached.node, "left").select("fp", F.coalesce("root", "print").alias("group"))
+    return named.join(named.groupBy("group").agg(F.count("*").alias("sets")).where("sets > 1").select("group"), "group").select("fp", "group")
+
+
+def loose_groups(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, group) for sets that share a band key with sets that are not linked to them yet, directly or over further sets; linked: (node, root)."""
+    rooted = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "keys", F.coalesce("root", "fp").alias("root"))
+    posted = rooted.select("fp", "root", F.explode("keys").alias("key"))
+    several = [F.min("root").alias("a"), F.max("root").alias("b")]
+    least = posted.groupBy("key").agg(F.min("fp").alias("least"), *several).where("a != b").select("key", "least")
     edges = posted.join(least, "key").where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
     return components(edges).select(F.col("node").alias("fp"), F.col("root").alias("group"))
 
 
-def links(printed: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int], block: int) -> DataFrame:
-    """Edges (u, v) whose components are those of "at least this similar" among the sets of nodes.
-
-    A loose group of more than a block is dealt into blocks, and the first block meets every other one: so each set is
-    sent once, and the sets of a group of copies find each other through it. What is left to compare are sets of different
-    components that share a rare shingle.
-    """
-    grouped = materialize(loose_groups(nodes))
+def _sent(printed: DataFrame, nodes: DataFrame, grouped: DataFrame, shingle: int, block: int) -> DataFrame:
+    """(fp, group, blocks, hashes) of the sets in grouped (fp, group), read from one text each."""
     places = materialize(grouped.join(nodes, "fp").select("fp", "group", F.col("first._place").alias("_place")))
     maybe = sieve(places.select("_place"))
     texts = printed.select("_place", F.col("_row.text").alias("text")).where(maybe(F.col("_place")))
     blocks = places.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # sort-merge at every size: a table of places is small only beside a small corpus
     held = materialize(places.join(blocks, "group").hint("merge").join(texts, "_place").select("fp", "group", "blocks", _sets(shingle)(F.col("text")).alias("hashes")))
+    release(places)
+    return held
+
+
+def _dealt_first(held: DataFrame) -> DataFrame:
+    """Cells (group, cell, fp, hashes) in which the first block of a group meets every other one."""
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     meets = F.when((F.col("blocks") > 1) & (mine == 0), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(mine))
-    near = _found(held.select("group", F.explode(meets.cast("array<long>")).alias("cell"), "fp", "hashes"), similarity)
+    return held.select("group", F.explode(meets.cast("array<long>")).alias("cell"), "fp", "hashes")
+
+
+def links(printed: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int], block: int) -> DataFrame:
+    """Edges (u, v) whose components are those of "at least this similar" among the sets of nodes.
+
+    Groups of near fingerprints are compared first; what they link is not compared again unless a set of another component shares a band key.
+    A group of more than a block is dealt into blocks, and the first block meets every other one: so each set is
+    sent once, and the sets of a group of copies find each other through it. What is left to compare in loose groups are sets of different
+    components that share a rare shingle.
+    """
+    alike = materialize(alike_groups(nodes))
+    copies = _sent(printed, nodes, alike, shingle, block)
+    first = _compared(_dealt_first(copies), similarity)
+    linked = materialize(components(first.select("u", "v")))
+    release(alike, copies)
+    grouped = materialize(loose_groups(nodes, linked))
+    held = _sent(printed, nodes, grouped, shingle, block)
+    near = _found(_dealt_first(held), similarity)
     large = held.where("blocks > 1")
-    rooted = _rooted(large.select("fp", "group"), near)
+    rooted = _rooted(large.select("fp", "group"), near, linked)
     mixed = rooted.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("group")
     apart = materialize(rooted.join(mixed, "group", "left_semi").select("fp", "root"))
     if apart.isEmpty():
-        release(grouped, places, held, rooted, apart)
-        return near.select("u", "v")
+        release(grouped, held, rooted, apart, linked)
+        return first.select("u", "v").unionAll(near.select("u", "v")).distinct()
     still = materialize(large.join(apart.hint("merge"), "fp").select("fp", "root", "hashes"))
     far = _found(_dealt(still, meetings(still, similarity), block), similarity)
-    release(grouped, places, held, rooted, apart, still)
-    return near.select("u", "v").unionAll(far.select("u", "v")).distinct()
+    release(grouped, held, rooted, apart, still, linked)
+    return first.select("u", "v").unionAll(near.select("u", "v")).unionAll(far.select("u", "v")).distinct()
 
 
-def _rooted(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add to sets (fp, group) the root of their component."""
-    own = edges.join(sets.select("group").distinct(), "group", "left_semi").select("u", "v")
+def _rooted(sets: DataFrame, edges: DataFrame, linked: DataFrame) -> DataFrame:
+    """Add to sets (fp, group) the root of their component by edges and by what is linked (node, root) already."""
+    before = linked.where("node != root").join(sets.select(F.col("fp").alias("node")), "node", "left_semi").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    own = edges.join(sets.select("group").distinct(), "group", "left_semi").select("u", "v").unionAll(before)
     reached = components(own)
     return materialize(sets.join(reached, sets.fp == reached.node, "left").select("fp", "group", F.coalesce("root", "fp").alias("root")))
 
@@ -313,9 +348,9 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     sketched = docs.select(row, "doc_id", _sketches(shingle)(F.col("text")).alias("s"))
-    printed = materialize(sketched.select("_row", "doc_id", "s.fp", "s.keys").withColumn("_place", F.monotonically_increasing_id()))
+    printed = materialize(sketched.select("_row", "doc_id", "s.fp", "s.print", "s.keys").withColumn("_place", F.monotonically_increasing_id()))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_place"))
-    nodes = materialize(printed.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("rows"), F.first("keys").alias("keys")))
+    nodes = materialize(printed.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("rows"), F.min("print").alias("print"), F.first("keys").alias("keys")))
     reached = components(links(printed, nodes, shingle, similarity, block))
     rooted = nodes.join(reached, nodes.fp == reached.node, "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).where("rows > 1")

@@ -113,6 +113,21 @@ def test_unlinked_groups_grow_linearly(spark, monkeypatch):
     assert n <= 20 and m <= 20
 
 
+def test_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Long texts that differ in one word have near fingerprints: SimHash's index brings them together, and nothing is left for the band keys."""
+    rng = random.Random(9)
+    texts, asked, left = {}, [], []
+    for k in range(6):
+        words = rng.choices(WORDS, k=3000)
+        texts |= {10 * k: " ".join(words), 10 * k + 1: " ".join([*words[:-1], "other"]), 10 * k + 2: " ".join(["one", *words])}
+    links, found = near.simhash.fingerprint_links, near._found
+    monkeypatch.setattr(near.simhash, "fingerprint_links", lambda *a, **b: asked.append(1) or links(*a, **b))
+    monkeypatch.setattr(near, "_found", lambda cells, similarity: left.append(cells.count()) or found(cells, similarity))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == brute(texts)[0] == {10 * k for k in range(6)}
+    assert asked and sum(left) == 0
+
+
 def test_passages_from_a_pool(spark):
     """Texts made of three shared passages each, some of which differ in few words: links over several blocks."""
     rng = random.Random(6)
