@@ -9,8 +9,10 @@ Neither tokenizer crosses a blank that follows no other blank and comes before a
 blank inside (checked when the model is read). Texts are therefore parted there, and what is put one after another are the *distinct* parts of the batch; a
 text's figures are sums over its parts. Texts with other blanks in such places are one part each, and so are all texts if B has pieces with a blank inside.
 
-How often an id pair is linked in the corpus is counted by batch and partition before the shuffle. The most frequent pairs, at most MOST_PAIRS, go to all
-executors; a text's other links, none of which is frequent, meet their counts in a join. The greatest count of a B id is a row per id.
+What is stored between the two passes is a row per text, with its distinct pairs and how often each links in it: few bytes for each link, no cell larger than its own
+text asks for, and a copy of a pair in a text looked up once. How often an id pair is linked in the corpus is counted by batch and partition before the shuffle, in the first
+pass already: these counts are rows of the same table with columns of their own, so links are not read again for them. The most frequent pairs, at most MOST_PAIRS, go to all
+executors; a text's other pairs, none of which is frequent, meet their counts in a join. The greatest count of a B id is a row per id.
 
 Defined cases: a null or empty text has no tokens, zeros and an empty checksum; so has one whose tokens' bytes are not those of the text (a text with the
 piece mark itself, which B reads as a blank); such texts count nowhere. Strings of special tokens are plain text. Rows that repeat are
@@ -34,19 +36,19 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialize
 from quire.llm.packing import ranked
 
-#: Bytes of text that are aligned at once (a longer text is alone), and distinct parts tokenized in one call.
+#: Bytes of text that are aligned (or of pairs that are looked up) at once, a longer text being alone, and distinct parts tokenized in one call.
 SLICE_BYTES, CALL_PARTS = 1 << 20, 512
 #: Pairs whose counts every executor holds (16 bytes each), and pairs that a task gathers before it passes them on.
 MOST_PAIRS, GATHERED = 1 << 20, 1 << 20
+#: Counts of pairs that are passed on in one batch.
+PASSED = 1 << 16
 #: How pieces write a blank.
 MARK = "▁"
 #: A blank next to another one, at an end of the text, or next to a mark.
 _ODD = rf" [\s\x0b\x1c-\x1f\x85\p{{Z}}]|{MARK}|^[\s\x0b\x1c-\x1f\x85\p{{Z}}]| $"
 
-SHAPE = (
-    "docs array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, "
-    "parts binary, part_ends binary, links binary, link_ends binary"
-)
+#: A text (pairs: its distinct pairs, times: how often each links, a byte a pair), or a pair with its count in a partition.
+SHAPE = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs binary, times binary, pair long, n long"
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -222,26 +224,93 @@ def parted(pair: Pair, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[st
     return renumber[index].astype(np.int32), np.cumsum(lengths), [k for k, u in zip(known, used.tolist(), strict=True) if u], int(used[:regular].sum())
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts in runs of about SLICE_BYTES."""
-    ids, texts = batch.column(0), batch.column(1)
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of about SLICE_BYTES of a column."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < len(texts):
+    while at < batch.num_rows:
         before = size[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
-        yield ids.slice(at, end - at), texts.slice(at, end - at)
+        yield batch.slice(at, end - at)
         at = end
 
 
+def tallied(index: np.ndarray, ends: np.ndarray, links: np.ndarray, link_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct links of all texts, rising; then the distinct links of each text as places among them, how often each occurs there, and their ends by text.
+
+    A text's parts are told apart first, so that the links of a part that repeats in it are taken once.
+    """
+    part, times, upto = _grouped(index, None, ends, len(link_ends))
+    found, place = np.unique(links, return_inverse=True)
+    own = np.diff(np.concatenate([[0], link_ends]))[part]  # links of each part of each text
+    run_ends = np.cumsum(own)
+    at = np.arange(run_ends[-1] if len(own) else 0) + np.repeat(link_ends[part] - run_ends, own)
+    return found, *_grouped(place[at], np.repeat(times, own), np.concatenate([[0], run_ends])[upto], len(found))
+
+
+def _grouped(values: np.ndarray, times: np.ndarray | None, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values (below most) of each run that ends at ends, their times (None: one each) summed, and the ends of the runs that are left."""
+    keys = np.repeat(np.arange(len(ends)) * most, np.diff(np.concatenate([[0], ends])))
+    keys += values
+    if times is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+    if times is None:
+        sums = np.diff(np.concatenate([starts, [len(keys)]]))
+    else:
+        sums = np.add.reduceat(times, starts) if len(starts) else np.zeros(0, np.int64)
+    keys = keys[starts]
+    return keys % max(most, 1), sums, np.searchsorted(keys, np.arange(1, len(ends) + 1) * most, "left")
+
+
+def in_bytes(values: np.ndarray, times: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values with times of at most a byte: one that occurs more often is repeated, and the times of its copies add up."""
+    copies = (times + 254) // 255
+    last = np.cumsum(copies)
+    small = np.full(last[-1] if len(last) else 0, 255, np.uint8)
+    small[last - 1] = times - 255 * (copies - 1)
+    return np.repeat(values, copies), small, np.concatenate([[0], last])[ends]
+
+
+def cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary cell for each run of values."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def in_cells(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binary cells one after another, and their ends by cell."""
+    wide = column.cast(pa.large_binary())
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    data = wide.buffers()[2]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data.slice(offsets[0], offsets[-1] - offsets[0]) if data else b"", kind), (offsets[1:] - offsets[0]) // size
+
+
+def _rows(names: list[str], columns: dict[str, pa.Array], kinds: dict[str, pa.DataType], n: int) -> pa.RecordBatch:
+    """A batch with nulls in the columns that are not given."""
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kinds[c]) for c in names], names=names)
+
+
 def _first(files: Files):
-    """A row per slice: figures of its texts that need no counts, its parts and their links."""
+    """A row per text: figures that need no counts, and its pairs. A row per pair: its count, summed over slices before it is passed on."""
+    kinds = {n: {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for n, k in (f.split() for f in SHAPE.split(", "))}
+    names = list(kinds)
+
+    def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), PASSED):
+            own = keys[k : k + PASSED]
+            yield _rows(names, {"pair": pa.array(own), "n": pa.array(counts[k : k + PASSED])}, kinds, len(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(files)
+        held: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            for ids, texts in slices(batch):
-                index, ends, parts, regular = parted(pair, texts)
+            for run_ in slices(batch):
+                index, ends, parts, regular = parted(pair, run_.column(1))
                 done = aligned(pair, parts, regular)
                 whole = segment_sums((~done.ok[index]).astype(np.int64), ends) == 0
                 lists = index.tolist()
@@ -249,18 +318,25 @@ def _first(files: Files):
                     hashlib.sha256(";".join(map(done.text.__getitem__, lists[s:e])).encode()).hexdigest() if e > s and w else ""
                     for s, e, w in zip([0, *ends[:-1].tolist()], ends.tolist(), whole.tolist(), strict=True)
                 ] if len(ends) else []
+                del lists
                 sums = [np.where(whole, segment_sums(x[index], ends), 0) for x in (done.n_a, done.n_b, done.n_groups)]
-                keep = np.repeat(whole, np.diff(np.concatenate([[0], ends])))
-                kept_ends = np.cumsum(np.where(whole, np.diff(np.concatenate([[0], ends])), 0))
-                row = (
-                    [ids.to_pylist()], *([x.tolist()] for x in sums), [shas],
-                    [index[keep].astype("<i4").tobytes()], [kept_ends.astype("<i8").tobytes()],
-                    [done.links.astype(pair.link_kind).tobytes()], [done.link_ends.astype("<i8").tobytes()],
-                )
-                kinds = (*[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in SHAPE.split(", ")]
-                )
+                sizes = np.diff(np.concatenate([[0], ends]))
+                found, place, times, upto = tallied(index[np.repeat(whole, sizes)], np.cumsum(np.where(whole, sizes, 0)), done.links, done.link_ends)
+                stored, small, stored_ends = in_bytes(found[place].astype(pair.link_kind), times, upto)
+                yield _rows(names, {
+                    "doc_id": run_.column(0), **{n: pa.array(x, pa.int64()) for n, x in zip(("n_a", "n_b", "n_groups"), sums, strict=True)},
+                    "groups_sha256": pa.array(shas, pa.string()), "pairs": cells(stored, stored_ends), "times": cells(small, stored_ends),
+                }, kinds, run_.num_rows)
+                counts = np.zeros(len(found), np.int64)
+                np.add.at(counts, place, times)
+                linked = counts > 0  # links of parts that occur in no whole text do not count
+                new = found[linked], counts[linked]
+                held = _merged([held[0], new[0]], [held[1], new[1]]) if held else new
+                if len(held[0]) > GATHERED:
+                    yield from out(*held)
+                    held = None
+        if held:
+            yield from out(*held)
 
     return run
 
@@ -277,56 +353,27 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, out
 
 
-def _counts(kind: str):
-    """Pairs with their counts, summed over slices before they are passed on."""
-
-    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray] | None = None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                index, links, ends = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((0, "<i4"), (1, kind), (2, "<i8")))
-                times = np.bincount(index, minlength=len(ends))
-                new = _merged([links.astype(np.int64)], [np.repeat(times, np.diff(np.concatenate([[0], ends])))])
-                held = _merged([held[0], new[0]], [held[1], new[1]]) if held else new
-                if len(held[0]) > GATHERED:
-                    yield out(*held)
-                    held = None
-        if held:
-            yield out(*held)
-
-    return run
-
-
 def _second(pairs, best, b_ids: int, kind: str):
-    """A row per text with its figures, and the links whose counts are not among the frequent ones."""
+    """A row per text with its figures, and the pairs whose counts are not among the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, counts), most = pairs.value, best.value
         for batch in batches:
-            cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            for k in range(batch.num_rows):
-                index, ends, links, link_ends = (np.frombuffer(cols[c][k].as_buffer(), t) for c, t in (("parts", "<i4"), ("part_ends", "<i8"), ("links", kind), ("link_ends", "<i8")))
-                links = links.astype(np.int64)
+            for run_ in slices(batch, batch.schema.names.index("pairs")):
+                cols = dict(zip(run_.schema.names, run_.columns, strict=True))
+                (links, ends), (times, _) = in_cells(cols["pairs"], kind), in_cells(cols["times"], "u1")
+                links, times = links.astype(np.int64), times.astype(np.int64)
                 at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
                 known = keys[at] == links if len(keys) else np.zeros(len(links), bool)
                 n = np.where(known, counts[at], 0) if len(keys) else np.zeros(len(links), np.int64)
-                is_best = known & (n == most[links % b_ids]) if len(links) else known
-                by_part = [segment_sums(x, link_ends) for x in (n, is_best.astype(np.int64), (~known).astype(np.int64))]
-                count_sum, n_best, unknown = (segment_sums(x[index], ends) for x in by_part)
-                starts, part_starts = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], link_ends[:-1]])
-                rest = []
-                for d in range(len(ends)):
-                    own = index[starts[d] : ends[d]][by_part[2][index[starts[d] : ends[d]]] > 0] if unknown[d] else ()
-                    rest.append(np.concatenate([links[part_starts[p] : link_ends[p]][~known[part_starts[p] : link_ends[p]]] for p in own]).tolist() if len(own) else [])
-                figures = {c: cols[c][k].values for c in ("docs", "n_a", "n_b", "n_groups", "groups_sha256")}
-                n_links = pc.subtract(pc.add(figures["n_a"], figures["n_b"]), figures["n_groups"])
+                is_best = known & (n == most[links % b_ids])
+                count_sum, n_best, unknown = (segment_sums(x, ends) for x in (n * times, is_best * times, (~known).astype(np.int64)))
+                rest = pa.StructArray.from_arrays([pa.array(links[~known]), pa.array(times[~known])], names=["pair", "times"])
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(unknown)]), pa.int32()), rest)
+                n_links = pc.subtract(pc.add(cols["n_a"], cols["n_b"]), cols["n_groups"])
                 yield pa.RecordBatch.from_arrays([
-                    figures["docs"], figures["n_a"], figures["n_b"], figures["n_groups"], n_links, pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()),
-                    figures["groups_sha256"], pa.array([cols["slice"][k].as_py()] * len(ends), pa.int64()), pa.array(range(len(ends)), pa.int64()), pa.array(rest, pa.list_(pa.int64())),
-                ], names=["doc_id", *FIGURES, "groups_sha256", "slice", "place", "rest"])
+                    *(cols[c] for c in ("doc_id", "n_a", "n_b", "n_groups")), n_links, pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), cols["groups_sha256"], rest,
+                ], names=["doc_id", *FIGURES, "groups_sha256", "rest"])
 
     return run
 
@@ -337,8 +384,8 @@ def align(docs: DataFrame, files: Files, text: str = "text", most_pairs: int = M
     pair = Pair(files)  # only for its numbers of ids
     b_ids, kind = pair.b_ids, pair.link_kind
     sent = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
-    first = materialize(sent.mapInArrow(_first(files), SHAPE).withColumn("slice", F.monotonically_increasing_id()))
-    counted = materialize(first.select("parts", "links", "link_ends").mapInArrow(_counts(kind), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    first = materialize(sent.mapInArrow(_first(files), SHAPE))
+    counted = materialize(first.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("n").alias("n")))
     best = counted.groupBy((F.col("pair") % b_ids).cast("int").alias("b")).agg(F.max("n").alias("most"))
     most = np.zeros(b_ids, np.int64)
     for r in best.collect():  # a row per id of B
@@ -354,16 +401,16 @@ def align(docs: DataFrame, files: Files, text: str = "text", most_pairs: int = M
     order = np.argsort(keys)
     context = spark.sparkContext
     lookup, greatest = context.broadcast((keys[order], counts[order])), context.broadcast(most)
-    shape = "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string, slice long, place long, rest array<long>"
-    figured = first.select("slice", "docs", "n_a", "n_b", "n_groups", "groups_sha256", "parts", "part_ends", "links", "link_ends").mapInArrow(
+    shape = "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string, rest array<struct<pair: long, times: long>>"
+    figured = first.where(F.col("pair").isNull()).select("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times").mapInArrow(
         _second(lookup, greatest, b_ids, kind), shape)
     if not any(n for size, n in sizes.items() if size < least):
         return figured.select("doc_id", *FIGURES, "groups_sha256")
-    figured = materialize(figured)
+    figured = materialize(figured.withColumn("row", F.monotonically_increasing_id()))
     rare = counted.where(F.col("n") < F.shiftleft(F.lit(1).cast("long"), min(least, 62))).join(
         F.broadcast(best), F.col("b") == F.col("pair") % b_ids).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
-    added = figured.select("slice", "place", F.explode("rest").alias("pair")).join(rare, "pair").groupBy("slice", "place").agg(
-        F.sum("n").alias("_sum"), F.sum("is_best").alias("_best"))
-    return figured.join(added, ["slice", "place"], "left").select(
+    added = figured.select("row", F.inline("rest")).join(rare, "pair").groupBy("row").agg(
+        F.sum(F.col("n") * F.col("times")).alias("_sum"), F.sum(F.col("is_best") * F.col("times")).alias("_best"))
+    return figured.join(added, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("_best", F.lit(0))).alias("n_best"),
         (F.col("count_sum") + F.coalesce("_sum", F.lit(0))).alias("count_sum"), "groups_sha256")

@@ -304,6 +304,45 @@ def test_alignment_edges(spark):
     assert align.align(df.limit(0), files).count() == 0
 
 
+def test_alignment_stores_small_cells(spark, monkeypatch):
+    """No stored cell holds more than one text asks for, however many texts are aligned at once."""
+    written = []
+    monkeypatch.setattr(align, "materialize", lambda df, keep=align.materialize: written.append(keep(df)) or written[-1])
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(3000)]
+    rows = [(k, " ".join(rng.choices(words, k=20))) for k in range(4000)]
+    compare(spark, rows)
+    size = {c: F.length(F.to_json(F.struct(c))) for c in written[0].columns}  # bytes are in base64
+    largest = written[0].agg(*[F.max(x).alias(c) for c, x in size.items()]).first().asDict()
+    assert max(x or 0 for x in largest.values()) < 1000, largest
+
+
+def test_links_of_texts(pair):
+    """Pairs and times of texts against a count link by link: parts that repeat, texts without parts, times about a byte's bound."""
+    rng = np.random.default_rng(7)
+    for most in (1, 3, 40):
+        sizes = rng.integers(0, 6, most)
+        link_ends, links = np.cumsum(sizes), rng.integers(0, 9, sizes.sum()) * 100_000_007
+        ends = np.cumsum(rng.integers(0, 700, 12) * rng.integers(0, 2, 12))
+        index = rng.integers(0, most, ends[-1]).astype(np.int32)
+        found, place, times, upto = align.tallied(index, ends, links, link_ends)
+        stored, small, stored_ends = align.in_bytes(found[place], times, upto)
+        (got, got_ends), (got_times, _) = align.in_cells(align.cells(stored, stored_ends), "<i8"), align.in_cells(align.cells(small, stored_ends), "u1")
+        assert got_ends.tolist() == stored_ends.tolist()
+        for s, e, p, q in zip([0, *ends[:-1]], ends, [0, *got_ends[:-1]], got_ends, strict=True):
+            want = collections.Counter(int(x) for i in index[s:e] for x in links[link_ends[i] - sizes[i] : link_ends[i]])
+            have = collections.Counter()
+            for x, n in zip(got[p:q].tolist(), got_times[p:q].tolist(), strict=True):
+                have[x] += n
+            assert have == want
+    for n in (1, 254, 255, 256, 509, 510, 511, 70_000):
+        stored, small, stored_ends = align.in_bytes(np.array([4, 6]), np.array([n, 1]), np.array([0, 1, 2, 2]))
+        assert small[stored == 4].astype(int).sum() == n and small[stored == 6].tolist() == [1] and small.min() > 0
+        assert stored_ends.tolist() == [0, len(small) - 1, len(small), len(small)]
+        cut = align.cells(small, stored_ends).slice(1)  # a cell column that does not begin at its buffer's start
+        assert [x.tolist() for x in align.in_cells(cut, "u1")] == [small.tolist(), (stored_ends[1:]).tolist()]
+
+
 def test_parts_are_tokenized_as_wholes(pair):
     rng = random.Random(3)
     for _ in range(300):
